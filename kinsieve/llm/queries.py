@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsieve.llm.addresses import place_pairs, same_places
+from kinsieve.llm.canonical import map_to_reference
 from kinsieve.llm.leakage import find_leaks
 from kinsieve.llm.packing import pack
 from kinsieve.llm.spans import drop_repeated, shared_runs, stretches
@@ -115,3 +117,36 @@ u as (select distinct doc_id, s from r join k using (g)),
 v as (select *, sum(case when s > p + 40 then 1 else 0 end) over (partition by doc_id order by s) as st from (select *, lag(s) over (partition by doc_id order by s) as p from u))
 select doc_id, cast(min(s) - 1 as integer) as start_word, cast(max(s) - min(s) + 40 as integer) as n_words from v group by doc_id, st""",
 }
+
+
+def _latest(df: DataFrame, key: str, columns: list[str], version: str) -> DataFrame:
+    """One row per key: the one loaded last (of equal ones the greatest), folded before the shuffle."""
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(version, *columns)).alias("r")).select(key, *[f"r.{c}" for c in columns])
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    entries = [(r[0], r[1], r[2]) for r in table(spark, sf, "employer_ref").select("employer_id", "employer_name", "industry").collect()]
+    c = _latest(table(spark, sf, "contribution"), "source_record_id", ["employer_raw"], "load_date")
+    p = _latest(table(spark, sf, "prospect"), "prospect_id", ["company_raw"], "updated_at")
+    typed = c.select(F.lit("contribution").alias("src"), F.col("source_record_id").alias("rec_id"), F.col("employer_raw").alias("typed")).unionByName(
+        p.select(F.lit("prospect").alias("src"), F.col("prospect_id").alias("rec_id"), F.col("company_raw").alias("typed"))
+    )
+    return map_to_reference(typed, "typed", entries).select("src", "rec_id", "employer_id")
+
+
+def addresses(spark: SparkSession, sf: str) -> DataFrame:
+    p = _latest(table(spark, sf, "prospect"), "prospect_id", ["address", "city", "state", "zip"], "updated_at")
+    n = _latest(table(spark, sf, "nonprofit_record"), "nonprofit_id", ["street", "city", "state", "zip"], "loaded_at")
+    a = _latest(table(spark, sf, "property_address"), "address_id", ["line1", "city", "state", "zip"], "loaded_at")
+
+    def as_records(df: DataFrame, kind: str, key: str, line: str) -> DataFrame:
+        return df.select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("rec"), F.col(line).alias("line"), "city", "state", "zip")
+
+    return as_records(p, "prospect", "prospect_id", "address").unionByName(as_records(n, "nonprofit", "nonprofit_id", "street")).unionByName(as_records(a, "property", "address_id", "line1"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return place_pairs(same_places(addresses(spark, sf)))
+
+
+QUERIES |= {"p2_found": p2_found, "p3_found": p3_found}

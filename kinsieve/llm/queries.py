@@ -9,6 +9,7 @@ from kinsieve.llm.addresses import place_pairs, same_places
 from kinsieve.llm.canonical import map_to_reference
 from kinsieve.llm.leakage import find_leaks
 from kinsieve.llm.packing import pack
+from kinsieve.llm.persons import given_names, person_clusters, read_people, variant_pairs
 from kinsieve.llm.spans import drop_repeated, shared_runs, stretches
 from kinsieve.llm.truth import FILLERS, _FILLER_SET, truth_discovery
 from kinsieve.session import table
@@ -150,3 +151,76 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p3_found": p3_found}
+
+
+def _industries(spark: SparkSession, sf: str) -> list[str]:
+    """The industries of the reference list, fixed in number."""
+    return sorted(r[0] for r in table(spark, sf, "employer_ref").select("industry").distinct().collect() if r[0])
+
+
+def donors(spark: SparkSession, sf: str) -> DataFrame:
+    c = _latest(table(spark, sf, "contribution"), "source_record_id", ["donor_name_raw", "city", "state", "zip", "employer_raw", "occupation_raw"], "load_date")
+    return c.select(
+        F.concat(F.lit("contribution:"), "source_record_id").alias("rec"),
+        F.col("donor_name_raw").alias("name"),
+        "city",
+        "state",
+        "zip",
+        F.array("employer_raw").alias("employers"),
+        F.col("occupation_raw").alias("occupation"),
+        F.lit(None).cast("string").alias("address"),
+        F.lit(None).cast("string").alias("org"),
+    )
+
+
+def _prospects(spark: SparkSession, sf: str) -> DataFrame:
+    return _latest(
+        table(spark, sf, "prospect"), "prospect_id", ["name_raw", "alias_names", "company_raw", "other_companies", "address", "city", "state", "zip"], "updated_at"
+    ).withColumn("employers", F.array_compact(F.array_union(F.array("company_raw"), F.coalesce("other_companies", F.array().cast("array<string>")))))
+
+
+def officers(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nonprofit_record").withColumn("org_name", F.col("filing.org_name"))
+    n = _latest(n, "nonprofit_id", ["person_name", "city", "state", "zip", "street", "org_name"], "loaded_at")
+    return n.select(
+        F.concat(F.lit("nonprofit:"), F.col("nonprofit_id").cast("string")).alias("rec"),
+        F.col("person_name").alias("name"),
+        "city",
+        "state",
+        "zip",
+        F.array().cast("array<string>").alias("employers"),
+        F.lit(None).cast("string").alias("occupation"),
+        F.col("street").alias("address"),
+        F.col("org_name").alias("org"),
+    )
+
+
+def aliases(spark: SparkSession, sf: str) -> DataFrame:
+    p = _prospects(spark, sf)
+    return p.select("*", F.posexplode("alias_names").alias("at", "name")).select(
+        F.concat_ws(":", F.lit("alias"), "prospect_id", (F.col("at") + 1).cast("string")).alias("rec"),
+        "name",
+        "city",
+        "state",
+        "zip",
+        "employers",
+        F.lit(None).cast("string").alias("occupation"),
+        "address",
+        F.lit(None).cast("string").alias("org"),
+    )
+
+
+def name_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    given = given_names(table(spark, sf, "contribution"), "donor_name_raw")
+    records = donors(spark, sf).unionByName(officers(spark, sf)).unionByName(aliases(spark, sf))
+    return person_clusters(read_people(records, given, _industries(spark, sf)))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = variant_pairs(name_clusters(spark, sf))
+    # two aliases of one prospect are no case
+    of = lambda c: F.substring_index(c, ":", 2)
+    return pairs.where(~(F.startswith("rec_a", F.lit("alias:")) & (of("rec_a") == of("rec_b"))))
+
+
+QUERIES |= {"p1_found": p1_found}

@@ -9,7 +9,7 @@ from kinsieve.llm.addresses import place_pairs, same_places
 from kinsieve.llm.canonical import map_to_reference
 from kinsieve.llm.leakage import find_leaks
 from kinsieve.llm.packing import pack
-from kinsieve.llm.persons import given_names, person_clusters, read_people, variant_pairs
+from kinsieve.llm.persons import given_names, linked_sources, person_clusters, read_people, variant_pairs
 from kinsieve.llm.spans import drop_repeated, shared_runs, stretches
 from kinsieve.llm.truth import FILLERS, _FILLER_SET, truth_discovery
 from kinsieve.session import table
@@ -224,3 +224,34 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p1_found": p1_found}
+
+
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    given, industries = given_names(table(spark, sf, "contribution"), "donor_name_raw"), _industries(spark, sf)
+    p = _prospects(spark, sf).select(
+        F.concat(F.lit("l:"), "prospect_id").alias("rec"),
+        F.col("name_raw").alias("name"),
+        "city",
+        "state",
+        "zip",
+        "employers",
+        F.lit(None).cast("string").alias("occupation"),
+        "address",
+        F.lit(None).cast("string").alias("org"),
+    )
+    c = donors(spark, sf).withColumn("rec", F.regexp_replace("rec", "^contribution", "r"))
+    people = read_people(p.unionByName(c), given, industries)
+    return linked_sources(people.withColumn("side", F.substring("rec", 1, 1)))
+
+
+def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Each match with its confidence, the marginal probability."""
+    m = _linked(spark, sf).where("probability >= 0.5")
+    return m.select(F.expr("substring(left_rec, 3)").alias("prospect_id"), F.expr("substring(right_rec, 3)").alias("source_record_id"), F.round("probability", 4).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_matches(spark, sf).select("prospect_id", "source_record_id")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_matches": p5_matches}

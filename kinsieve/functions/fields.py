@@ -101,7 +101,7 @@ def normalize_address(c: Column) -> Column:
     """struct<line1, city, state, zip, normalized_key> of 'line, city, state zip'; a text of fewer
     segments is all line1; null where there is none."""
     t = F.trim(text(c))
-    seg = F.filter(F.transform(F.split(t, ","), F.trim), lambda x: x != "")
+    seg = F.filter(F.transform(F.split(t, ","), lambda x: F.trim(x)), lambda x: x != "")
     region = F.split(F.get(seg, F.lit(2)), r"\s+")
     line, city, state, zip_code = _token(F.get(seg, F.lit(0))), _token(F.get(seg, F.lit(1))), _token(F.get(region, F.lit(0))), F.trim(text(F.get(region, F.lit(1))))
     full = F.struct(
@@ -231,4 +231,4 @@ def record_key(*parts: Column) -> Column:
 
 def owner_fingerprint(owners: Column) -> Column:
     """Sorted lower-case owner names, joined; the same whatever their order."""
-    return F.array_join(F.array_sort(F.filter(F.transform(owners, F.lower), lambda x: x != "")), "|")
+    return F.array_join(F.array_sort(F.filter(F.transform(owners, lambda x: F.lower(x)), lambda x: x != "")), "|")

@@ -145,7 +145,7 @@ def classify_owner(c: Column) -> Column:
 
 def split_owners(c: Column, kind: Column) -> Column:
     """The owners in one field; later ones of one or two words take the surname of the first."""
-    parts = F.filter(F.transform(F.split(c, r"(?i)\s+(?:&|AND)\s+"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"(?i)\s+(?:&|AND)\s+"), lambda x: F.trim(x)), lambda x: x != "")
     surname = F.get(F.split(F.trim(F.get(parts, F.lit(0))), r"\s+"), F.lit(0))
 
     def named(x, i):
@@ -205,8 +205,8 @@ def parse_owners(c: Column) -> Column:
 def try_person(c: Column) -> Column:
     """A filed officer's name, parsed: dates after it cut off, entries that name nobody and entries with
     digits refused."""
-    text = collapse_ws(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s+AS OF\s+\w+\s+\d{4}.*", ""))
-    nobody = F.upper(text).isin("VACANT", "NONE", "N/A", "NA", "UNKNOWN", "ANONYMOUS", "VARIOUS", "SEE STATEMENT", "SEE ATTACHED")
+    text = collapse_ws(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s+AS\s+OF\s+\w+\s+\d{4}\s*\z", ""))
+    nobody = F.upper(text).isin("VACANT", "NONE", "N/A", "NA", "NOT APPLICABLE", "TBD", "UNKNOWN")
     return F.when((F.length(text) >= 3) & ~nobody & ~F.regexp_like(text, F.lit(r"\d")), parse_person_name(text))
 
 

@@ -82,12 +82,13 @@ def csv_escape(spark, sf):
 
 # text search
 
+_AT = '"at"'
 _GRAMS = r"""(select doc_id, array_to_string(w[i:i + 1], ' ') as gram, i - 1 as at from (select doc_id, w, unnest(range(1, greatest(len(w), 1))) as i from
   (select doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}''-]+'), lambda x: x <> '') as w from documents where length(text) > 0)))"""
 _NAMES2 = "(select distinct name_normalized as gram from prospect where regexp_full_match(name_normalized, '[a-z''-]+ [a-z''-]+'))"
 
 
-@query(f"select doc_id as text_id, gram as pattern, cast(g.at as integer) as "at" from {_GRAMS} g join {_NAMES2} using (gram)")
+@query(f"select doc_id as text_id, gram as pattern, cast(g.at as integer) as {_AT} from {_GRAMS} g join {_NAMES2} using (gram)")
 def text_search(spark, sf):
     p = table(spark, sf, "prospect").where(F.regexp_like("name_normalized", F.lit("^[a-z'-]+ [a-z'-]+$")))
     return search(table(spark, sf, "documents"), "doc_id", "text", p, "name_normalized", [2])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsieve.llm.edit import ShardedBKTree, typo_distance
-from kinsieve.session import partitions
+from kinsieve.session import materialize, partitions
 
 # Words that carry no identity.
 LEGAL = set(
@@ -38,7 +38,7 @@ _DIGIT = str.maketrans("0158", "olsb")
 
 
 def plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def abbreviates(token: str, word: str) -> bool:
@@ -55,7 +55,10 @@ def abbreviates(token: str, word: str) -> bool:
     stem = min(len(token), len(word)) - 3
     if stem >= 4 and token[: stem + 1] == word[: stem + 1] and abs(len(token) - len(word)) <= 3:
         return True
-    return min(len(token), len(word)) >= 4 and abs(len(token) - len(word)) <= 1 and typo_distance(token, word) <= 1
+    # one edit spares the first letter or the last
+    if min(len(token), len(word)) < 4 or abs(len(token) - len(word)) > 1 or (token[0] != word[0] and token[-1] != word[-1]):
+        return False
+    return (token[:2] == word[:2] or token[-2:] == word[-2:]) and typo_distance(token, word) <= 1
 
 
 class EmployerReader:
@@ -64,6 +67,7 @@ class EmployerReader:
     def __init__(self, industries: list[str]):
         self.industries = {i: plain(i).lower().split() for i in industries}
         self.initials = {"".join(w[0] for w in ws): i for i, ws in self.industries.items() if len(ws) > 1}
+        self.words = {i: [w for w in ws if w != "group"] for i, ws in self.industries.items()}
         self._memo: dict[str, tuple] = {}
         self._legal: dict[str, bool] = {}
 
@@ -104,10 +108,9 @@ class EmployerReader:
         initials = letters if 2 <= len(letters) <= 6 and (len(tokens) == 1 or all(len(t) == 1 for t in tokens)) else ""
         rest = [t for t in tokens if t not in LEGAL]
         best: dict[str, tuple[tuple[int, int], int, int]] = {}
-        for industry, ws in self.industries.items():
-            words = [w for w in ws if w != "group"]
-            for n in range(len(rest)):
-                span = self._phrase(rest, n, industry, words)
+        for n, t in enumerate(rest):
+            for industry, k in self.fits(t):
+                span = self._phrase(rest, n, industry, self.words[industry]) if k == 0 else None
                 if span and span[0] < len(rest):
                     best[industry] = max(best.get(industry, ((0, 0), 0, 0)), ((span[1], span[0]), n, n + span[0]))
         last = rest[-1] if len(rest) > 1 else ""
@@ -161,16 +164,20 @@ class ReferenceIndex:
             self.by_core.setdefault("".join([*own, *ws]), []).append((eid, industry))
             marks.setdefault("".join(t[0] for t in [*own, *ws]), set()).add(eid)
         self.by_initials = {k: min(v) for k, v in marks.items() if len(v) == 1}
-        self.tree = ShardedBKTree(self.by_core)
+        # sharded by industry too, as an entry of another one is not meant
+        self.trees = {"": ShardedBKTree(self.by_core)}
+        for industry in self.reader.industries:
+            self.trees[industry] = ShardedBKTree(c for c, own in self.by_core.items() if any(i == industry for _, i in own))
 
-    def near(self, core: str) -> list[tuple[int, str]]:
+    def near(self, core: str, industry: str = "") -> list[tuple[int, str]]:
         """(typos, core) of the reference cores meant by a typed core, the nearest first: one edit, two in
         a long core, or a swap of neighbours, which is looked up by swapping back."""
         if core in self.by_core:
             return [(0, core)]
         if len(core) < 4:
             return []
-        found = {c: d for d, c in self.tree.within(core, 1 if len(core) < 12 else 2)}
+        radius = 1 if len(core) < 12 else 2
+        found = {c: d for i in industry.split("|") for d, c in self.trees[i].within(core, radius)}
         for n in range(len(core) - 1):
             swapped = core[:n] + core[n + 1] + core[n] + core[n + 2 :]
             if swapped in self.by_core:
@@ -207,9 +214,9 @@ def map_to_reference(values: DataFrame, value: str, entries: list[tuple[int, str
 
     def look_up(batches):
         for pdf in batches:
-            near = [index.value.near(c) for c in pdf["core"]]
+            near = [index.value.near(c, i) for c, i in zip(pdf["core"], pdf["industry"])]
             keep = [n for n, x in enumerate(near) if x]
-            yield pd.DataFrame({"core": pdf["core"].iloc[keep], "near_d": [[d for d, _ in near[n]] for n in keep], "near_c": [[c for _, c in near[n]] for n in keep]})
+            yield pd.DataFrame({"core": pdf["core"].iloc[keep], "industry": pdf["industry"].iloc[keep], "near_d": [[d for d, _ in near[n]] for n in keep], "near_c": [[c for _, c in near[n]] for n in keep]})
 
     def decide(batches):
         for pdf in batches:
@@ -219,8 +226,14 @@ def map_to_reference(values: DataFrame, value: str, entries: list[tuple[int, str
             ]
             yield pd.DataFrame({"v": pdf["v"], "employer_id": ids}).astype({"employer_id": "int64"})
 
-    distinct = values.select(F.col(value).alias("v")).where("trim(v) <> ''").groupBy("v").agg(F.lit(1).alias("n")).repartition(width, "v").select("v")
-    parsed = distinct.mapInPandas(read, "v string, core string, industry string, initials string")
-    cores = parsed.select("core").distinct().repartition(width, "core").mapInPandas(look_up, "core string, near_d array<int>, near_c array<string>")
-    mapped = parsed.join(cores, "core", "left").select("v", "industry", "initials", "near_d", "near_c").mapInPandas(decide, "v string, employer_id bigint")
+    # spread by another hash than that of the aggregates, whose small partitions are merged to one task
+    distinct = values.select(F.col(value).alias("v")).where("trim(v) <> ''").distinct().repartition(width, F.xxhash64("v"))
+    parsed = materialize(distinct.mapInPandas(read, "v string, core string, industry string, initials string"), "employers")
+    cores = (
+        parsed.select("core", "industry")
+        .distinct()
+        .repartition(width, F.xxhash64("core", "industry"))
+        .mapInPandas(look_up, "core string, industry string, near_d array<int>, near_c array<string>")
+    )
+    mapped = parsed.join(cores, ["core", "industry"], "left").select("v", "industry", "initials", "near_d", "near_c").mapInPandas(decide, "v string, employer_id bigint")
     return values.where(f"trim(`{value}`) <> ''").join(mapped.withColumnRenamed("v", value), value)

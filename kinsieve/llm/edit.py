@@ -90,15 +90,25 @@ class BKTree:
 
 
 class ShardedBKTree:
-    """BK-trees by word length, which bounds the distance from below, or by any count of shards; the
-    winners of the shards merge to the same list that one tree gives."""
+    """BK-trees by word length, which bounds the distance from below; the winners of the shards merge to
+    the same list that one tree gives.
+
+    A shard is asked only if it can have an answer: r edits leave one of r + 1 parts of the word intact,
+    so a shard none of whose words holds any of the parts has none."""
 
     def __init__(self, words):
         by: dict[int, list[str]] = {}
         for w in set(words):
             by.setdefault(len(w), []).append(w)
         self.trees = {n: BKTree(own) for n, own in by.items()}
+        self.parts = {n: {w[i:j] for w in own for i in range(n) for j in range(i + 1, n + 1)} for n, own in by.items()}
 
     def within(self, word: str, radius: int) -> list[tuple[int, str]]:
         n = len(word)
-        return sorted(x for k in range(n - radius, n + radius + 1) if k in self.trees for x in self.trees[k].within(word, radius))
+        cuts = [k * n // (radius + 1) for k in range(radius + 2)]
+        parts = [word[i:j] for i, j in zip(cuts, cuts[1:])]
+        found = []
+        for k in range(n - radius, n + radius + 1):
+            if k in self.trees and not self.parts[k].isdisjoint(parts):
+                found.extend(self.trees[k].within(word, radius))
+        return sorted(found)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kinsieve.session import partitions
 
@@ -35,7 +36,8 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, list[tuple]],
         if out:
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(width, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    # another hash than the planner's own, whose exchange it would merge to a few tasks
+    return df.repartition(width, F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 class UnionFind:

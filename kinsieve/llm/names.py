@@ -45,15 +45,17 @@ _KIND = {w: k for k, ws in ORG_KINDS.items() for w in ws.split()}
 _LEGAL = set("inc incorporated llc llp lp corp corporation co company ltd".split())
 _REMARK = re.compile(r"\([^)]*\)|\s+-\s+until\b.*$|\bas of\b.*$|\buntil\b.*$|\bthru\b.*$|\s-\s.*$", re.I)
 _DIGIT = str.maketrans("01", "ol")
+_ZERO_ONE = re.compile(r"(?<=[a-z])[01]|[01](?=[a-z]{2})")
 
 
 def clean(text: str | None) -> str:
     if not isinstance(text, str):
         return ""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    t = _REMARK.sub(" ", t)
+    t = text.lower() if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+    if "(" in t or " - " in t or " of " in t or "until" in t or "thru" in t:
+        t = _REMARK.sub(" ", t)
     t = t.replace("ph.d", "phd").replace("l.l.c", "llc").replace("'", "").replace("’", "")
-    return re.sub(r"(?<=[a-z])[01]|[01](?=[a-z]{2})", lambda m: m.group().translate(_DIGIT), t)
+    return _ZERO_ONE.sub(lambda m: m.group().translate(_DIGIT), t) if "0" in t or "1" in t else t
 
 
 _TOKEN = re.compile(r"[a-z]+|\d(?:nd|rd|th)")

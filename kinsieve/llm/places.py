@@ -22,7 +22,7 @@ def fold(text: str | None) -> str:
     """Lower case without accents and with single blanks."""
     if not isinstance(text, str):
         return ""
-    t = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    t = text if text.isascii() else "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
     return " ".join(t.lower().split())
 
 

@@ -216,7 +216,7 @@ def map_to_reference(values: DataFrame, value: str, entries: list[tuple[int, str
         for pdf in batches:
             near = [index.value.near(c, i) for c, i in zip(pdf["core"], pdf["industry"])]
             keep = [n for n, x in enumerate(near) if x]
-            yield pd.DataFrame({"core": pdf["core"].iloc[keep], "industry": pdf["industry"].iloc[keep], "near_d": [[d for d, _ in near[n]] for n in keep], "near_c": [[c for _, c in near[n]] for n in keep]})
+            yield pd.DataFrame({"core": pdf["core"].iloc[keep], "industry": pdf["industry"].iloc[keep], "near_d": pd.Series([[d for d, _ in near[n]] for n in keep], index=pdf.index[keep], dtype=object), "near_c": pd.Series([[c for _, c in near[n]] for n in keep], index=pdf.index[keep], dtype=object)})
 
     def decide(batches):
         for pdf in batches:

@@ -109,6 +109,6 @@ class ShardedBKTree:
         parts = [word[i:j] for i, j in zip(cuts, cuts[1:])]
         found = []
         for k in range(n - radius, n + radius + 1):
-            if k in self.trees and not self.parts[k].isdisjoint(parts):
+            if k in self.trees and ("" in parts or not self.parts[k].isdisjoint(parts)):
                 found.extend(self.trees[k].within(word, radius))
         return sorted(found)

@@ -99,7 +99,7 @@ def read_name(text: str | None, given: GivenNames) -> tuple[str, str, str, str,
     organisation, surname holds the names, first the kind of firm."""
     t = clean(text)
     tokens = _TOKEN.findall(t)
-    if not tokens or all(x in NOBODY for x in tokens) or tokens[0] == "see":
+    if not tokens or all(x in NOBODY for x in tokens) or "".join(tokens) in NOBODY or tokens[0] == "see":
         return None
     if is_organisation(tokens):
         rest = [x for x in tokens if x not in _LEGAL and x not in ("the", "and", "of") and len(x) > 1]

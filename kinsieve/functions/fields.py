@@ -63,7 +63,7 @@ def best_employer(companies: Column, donor: Column) -> Column:
 
 
 def normalize_state(c: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in STATES.items() for x in kv])
+    table = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in STATES.items()) + ")")
     t = F.trim(text(c))
     return F.coalesce(F.try_element_at(table, F.lower(t)), F.upper(t))
 

@@ -69,7 +69,8 @@ def parse_person_name(c: Column) -> Column:
 
 def nicknames(c: Column) -> Column:
     """The other names of the groups that a given name is in; an empty array for all others."""
-    table = F.create_map(*[x for n, own in sorted(NICKNAMES.items()) for x in (F.lit(n), F.array(*map(F.lit, own)))])
+    # one SQL text, as a literal map of so many calls would be slow to build
+    table = F.expr("map(" + ", ".join(f"'{n}', array({', '.join(repr(o) for o in own)})" for n, own in sorted(NICKNAMES.items())) + ")")
     return F.coalesce(F.try_element_at(table, c), F.array().cast(_EMPTY))
 
 

@@ -526,6 +526,17 @@ def committee_totals(spark, sf):
     return c.agg(F.count("*").alias("n"), F.round(F.sum(F.col("amount").cast("decimal(18,2)")), 2).cast("double").alias("total"), F.countDistinct("source").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
+@query(
+    f"""with h as (select distinct source_record_id, person_id from {_HITS}), c as (select source_record_id, max(amount) as amount, max(source) as source from contribution group by 1)
+select person_id, count(*) as n_contributions, round(sum(amount), 2) as total, array_to_string(list_sort(list(distinct source)), ',') as sources from h join c using (source_record_id) group by 1"""
+)
+def prospect_aggregate(spark, sf):
+    h = _hits(spark, sf).select("source_record_id", "person_id").distinct()
+    c = table(spark, sf, "contribution").groupBy("source_record_id").agg(F.max("amount").alias("amount"), F.max("source").alias("source"))
+    g = h.join(c, "source_record_id").groupBy("person_id")
+    return g.agg(F.count("*").alias("n_contributions"), F.round(F.sum(F.col("amount").cast("decimal(18,2)")), 2).cast("double").alias("total"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
 @query("select flag, count(*) as n from (select unnest(conflict_flags) as flag from nonprofit_match) where flag is not null group by 1 order by n desc, flag limit 8")
 def topk_flags(spark, sf):
     f = table(spark, sf, "nonprofit_match").select(F.explode("conflict_flags").alias("flag")).where("flag is not null").groupBy("flag").agg(F.count("*").alias("n"))

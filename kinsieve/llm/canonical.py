@@ -68,6 +68,13 @@ class EmployerReader:
         self.industries = {i: plain(i).lower().split() for i in industries}
         self.initials = {"".join(w[0] for w in ws): i for i, ws in self.industries.items() if len(ws) > 1}
         self.words = {i: [w for w in ws if w != "group"] for i, ws in self.industries.items()}
+        # a token can stand for words with its first letter, or mistyped for those with its last two
+        self._near: dict[str, list[tuple[str, int, str]]] = {}
+        for i, ws in self.industries.items():
+            for k, w in enumerate(ws):
+                if w != "group":
+                    self._near.setdefault(w[0], []).append((i, k, w))
+                    self._near.setdefault(w[-2:], []).append((i, k, w))
         self._memo: dict[str, tuple] = {}
         self._legal: dict[str, bool] = {}
 
@@ -75,7 +82,8 @@ class EmployerReader:
         """The industries' words that the token can stand for."""
         got = self._memo.get(token)
         if got is None:
-            got = tuple((i, k) for i, ws in self.industries.items() for k, w in enumerate(ws) if w != "group" and abbreviates(token, w))
+            near = dict.fromkeys([*self._near.get(token[:1], ()), *self._near.get(token[-2:], ())])
+            got = tuple((i, k) for i, k, w in near if abbreviates(token, w))
             if len(self._memo) < 200_000:
                 self._memo[token] = got
         return got

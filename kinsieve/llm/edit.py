@@ -37,6 +37,16 @@ def typo_distance(a: str, b: str) -> int:
     """Edits with the swap of two neighbours as one (optimal string alignment)."""
     if a == b:
         return 0
+    # what both begin and end with costs nothing
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi and a[lo] == b[lo]:
+        lo += 1
+    end = 0
+    while end < hi - lo and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[lo : len(a) - end], b[lo : len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]

@@ -263,6 +263,21 @@ def test_average_linkage_against_brute_force():
         assert {frozenset(g) for g in out.values()} == naive_linkage(n, similar, 0.0, -6.0)
 
 
+def test_average_linkage_of_many():
+    rng = random.Random(6)
+    for n in (70, 90):
+        similar = {(i, j): rng.uniform(-4, 7 if i % 7 == j % 7 else -1) for i in range(n) for j in range(i + 1, n)}
+        groups = lambda labels: {frozenset(i for i, c in enumerate(labels) if c == k) for k in labels}
+        assert groups(persons.average_linkage(n, similar)) == groups(persons.average_linkage(n, similar, large=1000))
+
+
+def test_a_hot_name_is_clustered_whole():
+    rng = random.Random(7)
+    nodes = [persons.Evidence("roe", "jane" if i % 2 else "john", "", "", "89501", f"acme{i % 3}", "writ", str(rng.random()) if i % 50 == 0 else "", "") for i in range(3000)]
+    labels = persons.cluster_people(nodes)
+    assert len(labels) == 3000 and all((nodes[i].first == nodes[c].first) for i, c in enumerate(labels)) and len(set(labels)) < 60
+
+
 PEOPLE = "rec string, name string, city string, state string, zip string, employers array<string>, occupation string, address string, org string"
 
 

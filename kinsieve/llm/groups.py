@@ -4,36 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinsieve.session import partitions
 
 
-def arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
-def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else ([] for _ in schema)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def by_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """fn(key, rows) for each group; rows are tuples in df's column order. Groups are brought together
     by hash and sorted, which spills; a group itself is held in memory, so callers fold copies before
     and give keys whose groups their rules keep small."""
     where = [df.columns.index(k) for k in keys]
-    width, out_schema = partitions(df.sparkSession), arrow_schema(schema)
+    width, names = partitions(df.sparkSession), StructType.fromDDL(schema).names
 
     def run(batches):
         key, rows, out = None, [], []
-        for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+        for pdf in batches:
+            for row in zip(*[pdf[c].tolist() for c in pdf.columns]):
                 k = tuple(row[i] for i in where)
                 if k != key:
                     if rows:
@@ -41,15 +30,15 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[tuple, list[tuple]],
                     key, rows = k, []
                 rows.append(row)
                 if len(out) >= 20_000:
-                    yield as_batch(out, out_schema)
+                    yield pd.DataFrame(out, columns=names)
                     out = []
         if rows:
             out.extend(fn(key, rows))
         if out:
-            yield as_batch(out, out_schema)
+            yield pd.DataFrame(out, columns=names)
 
     # another hash than the planner's own, whose exchange it would merge to a few tasks
-    return df.repartition(width, F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(width, F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 class UnionFind:

@@ -355,3 +355,34 @@ def test_belief_propagation_is_exact_on_trees(frame, spark):
     want = brute_marginals(pairs)
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
     assert belief.match_probabilities(spark.createDataFrame([], "l string, r string, s double"), "l", "r", "s").count() == 0
+
+
+# people in two places
+
+MOVED = [
+    person("l:1", "Cyrus N Farethovic", zip_="29302", emp="Grisowlin Steel"), person("r:2", "FARETHOVIC, CYRUS N", zip_="44902", emp="GRISOWLIN STEEL INC"), person("r:3", "FARETHOVIC, CYRUS N", zip_="29302", emp="Grisowlin Steel"),
+    person("r:4", "FARETHOVIC, ANITA", zip_="44902", emp="Grisowlin Steel"), person("r:5", "FARETHOVIC, CYRUS N", zip_="60601", emp="Zenith Mills"), person("r:6", "FARETHOVIC JR, CYRUS N", zip_="70112", emp="Grisowlin Steel"), person("r:7", "FARETHOVIC SR, CYRUS N", zip_="80202", emp="Grisowlin Steel"),
+]
+
+
+def test_one_employer_in_two_places(frame):
+    people = persons.read_people(frame(PEOPLE, *MOVED[:5]), ["cyrus", "anita"], ["Steel", "Mills"])
+    by = defaultdict(set)
+    for r in persons.person_clusters(people).collect():
+        by[r.cluster].add(r.rec)
+    assert {frozenset(g) for g in by.values()} == {frozenset({"l:1", "r:2", "r:3"}), frozenset({"r:4"}), frozenset({"r:5"})}
+
+
+def test_contradictions_stay_apart_across_places(frame):
+    people = persons.read_people(frame(PEOPLE, *MOVED[5:]), ["cyrus", "anita"], ["Steel", "Mills"])
+    assert len({r.cluster for r in persons.person_clusters(people).collect()}) == 2
+
+
+def test_sources_linked_across_places(frame):
+    people = persons.read_people(frame(PEOPLE, *MOVED[:5]), ["cyrus", "anita"], ["Steel", "Mills"]).withColumn("side", F.substring("rec", 1, 1))
+    assert {(r.left_rec, r.right_rec) for r in persons.linked_sources(people).where("probability >= 0.5").collect()} == {("l:1", "r:2"), ("l:1", "r:3")}
+
+
+def test_components(frame):
+    rows = [(i, i + 1) for i in range(9)] + [(20, 21), (30, 21)]
+    assert {(r.a, r.root) for r in persons.components(frame("a long, b long", *rows)).collect()} == {(i, 0) for i in range(10)} | {(i, 20) for i in (20, 21, 30)}

@@ -16,8 +16,7 @@
 Defined cases: fields without an address (null, blank, fillers, no number) take no part; a unit against
 none or another one is another place; repeated rows of a key count once; a box is a place of its own.
 Forms are distinct before any comparison, so copies of one address cost nothing, and slots are grouped
-by hash; a slot pairs its distinct words with its eight most frequent ones only, so many spellings of one
-word cost a row each.
+by hash; a slot counts each pair of its distinct words, and one of many words is split over tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +32,7 @@ from kinsieve.llm.groups import UnionFind, by_group
 from kinsieve.llm.places import city_key, fold, read_address
 from kinsieve.session import discard, materialize, partitions
 
+CHUNK = 64  # words of a slot whose pairs one row makes
 SIGNIFICANT, NEARLY = 10.83, 3.84  # chi-square, one degree of freedom: 0.001 and 0.05
 _READ = "rec string, zip string, number string, unit string, words array<string>, city string, state string"
 
@@ -78,25 +78,24 @@ def mine(forms: DataFrame, least: float = 0.15) -> DataFrame:
     slots = (
         forms.where("size(words) > 1")
         .select("zip", "number", F.explode(slot).alias("s"))
-        .groupBy("zip", "number", "s.others", "s.word")
-        .agg(F.count("*").alias("n"))
-        .groupBy("zip", "number", "others")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False).alias("ws"))
+        .groupBy("zip", "number", "s.others")
+        .agg(F.collect_set("s.word").alias("ws"))
         .where("size(ws) > 1")
-        .select(F.col("ws.word").alias("ws"))
+        .select("ws")
     )
     slots = materialize(slots, "slots")
     total = slots.count()
     used = slots.select(F.explode("ws").alias("word")).groupBy("word").agg(F.count("*").cast("double").alias("n"))
     spoken = forms.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("f"))
     stats = used.join(spoken, "word")
-    # a rewrite leads to a more frequent word, so each is paired with the eight most frequent of its slot
+    # every pair of a slot counts; slots of many words are split, so that their pairs are made by several tasks
+    chunk = F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") - 1) / CHUNK).cast("int"))).alias("c")
+    large = slots.where(F.size("ws") > CHUNK).select("ws", chunk).repartition(partitions(forms.sparkSession), F.xxhash64("ws", "c"))
+    parts = slots.where(F.size("ws") <= CHUNK).select("ws", F.lit(0).alias("c")).unionByName(large)
     pairs = (
-        slots.select("ws", F.explode("ws").alias("x"))
-        .select("x", F.posexplode(F.slice("ws", 1, 8)).alias("at", "y"), "ws")
-        # of two frequent ones once
-        .where((F.col("x") != F.col("y")) & ((F.array_position("ws", F.col("x")) > 8) | (F.col("x") < F.col("y"))))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        parts.select("ws", F.explode(F.slice("ws", F.col("c") * CHUNK + 1, F.lit(CHUNK))).alias("a"))
+        .select("a", F.explode("ws").alias("b"))
+        .where("a < b")
         .groupBy("a", "b")
         .agg(F.count("*").cast("double").alias("both"))
     )
@@ -235,7 +234,7 @@ def _minus(ws: list[str], others: tuple) -> list[str]:
     return out
 
 
-def same_places(records: DataFrame, max_rounds: int = 6) -> DataFrame:
+def same_places(records: DataFrame) -> DataFrame:
     """(rec, place) for records(rec, line, city, state, zip) that hold an address; records at one place
     share `place`."""
     read = materialize(read_all(records), "addresses")
@@ -243,7 +242,8 @@ def same_places(records: DataFrame, max_rounds: int = 6) -> DataFrame:
     forms = forms.withColumn("id", F.xxhash64("zip", "number", "words"))
     forms = materialize(split_joined(forms), "forms")
     spent = []
-    for _ in range(max_rounds):
+    # ends by itself: rewrites lead to more frequent words, so each round leaves fewer distinct ones
+    while True:
         rewrites = materialize(mine(forms.where("zip <> ''").groupBy("zip", "number", "words").agg(F.count("*").alias("rows"))), "rewrites")
         if rewrites.isEmpty():
             break

@@ -226,6 +226,29 @@ def test_same_places(frame, spark):
     assert addresses.place_pairs(addresses.same_places(none)).count() == 0
 
 
+def test_every_pair_of_a_slot_votes(frame):
+    # a slot of many spellings, more than a row pairs, where neither word of the rewrite comes late in the alphabet
+    others = [f"zz{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(addresses.CHUNK + 10)]
+    rows = [("89501", str(k), [w, name]) for k, name in enumerate(("maple", "cedar", "walnut", "hickory")) for w in ["avenue", "avnue", *others]]
+    rows += [("89501", str(100 + k), ["avenue", f"elm{k}"]) for k in range(30)] + [("89501", str(200 + k), [w, f"oak{k}"]) for k in range(30) for w in ("street", "lane")]
+    got = {r.word: r.meant for r in addresses.mine(frame("zip string, number string, words array<string>", *rows)).collect()}
+    assert got["avnue"] == "avenue"
+
+
+def test_rewrites_go_on_until_none_is_new(frame, monkeypatch):
+    steps = iter([(f"w{i}", f"w{i + 1}") for i in range(9)])
+
+    def one_more(forms):
+        step = next(steps, None)
+        return forms.sparkSession.createDataFrame([step] if step else [], "word string, meant string")
+
+    monkeypatch.setattr(addresses, "mine", one_more)
+    rows = [("a", "100 Maple w0", "Reno", "NV", "89501"), ("b", "100 Maple w9", "Reno", "NV", "89501")]
+    monkeypatch.setattr(addresses, "read_all", lambda records: records)
+    read = frame("rec string, zip string, number string, unit string, words array<string>, city string, state string", *[(r, "89501", "100", "", ["maple", line.split()[-1]], "reno", "nv") for r, line, *_ in rows])
+    assert [(r.rec_a, r.rec_b) for r in addresses.place_pairs(addresses.same_places(read)).collect()] == [("a", "b")]
+
+
 # names and people
 
 

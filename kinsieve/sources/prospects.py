@@ -21,7 +21,7 @@ def resolve_headers(headers: list[str], known: dict[str, str] | None = None) ->
     plain = {h: re.sub(r"^_|_$", "", re.sub(r"[^a-z0-9]+", "_", h.lower())) for h in headers}
     out = {}
     for column, spellings in (known or PROSPECT_HEADERS).items():
-        found = next((h for h in headers if plain[h] in spellings.split()), None)
+        found = next((h for h in headers if plain[h] in spellings), None)
         if found is not None:
             out[column] = found
     if "name" not in out:

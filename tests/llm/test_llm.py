@@ -257,7 +257,8 @@ def test_read_name():
     r = lambda t: names.read_name(t, g)
     assert r("SMITH JR., JOHN A. MD") == ("p", "smith", "john", "a", "jr")
     assert r("John A Smith, Jr") == r("SMITH JOHN A JR.") == ("p", "smith", "john", "a", "jr")
-    assert r("Smith-Jones, Jhon") == ("p", "smithjones", "john", "", "")
+    assert r("Smith-Jones, Jhon") == ("p", "smithjones", "john", "", "") and r("Roe, Petre") == ("p", "roe", "petre~", "", "")
+    assert r("Acme Foundation")[0] == r("First National Bank")[0] == r("Sierra Club")[0] == r("Roe & Doe Associaiton")[0] == "o" and r("John Church") == r("Church, John") == ("p", "church", "john", "", "")
     assert r("D. Cyrus Roe - UNTIL JUNE 2024") == ("p", "roe", "d", "cyrus", "")
     assert r("The Roe & Doe Mfg, L.L.C.") == ("o", "roedoe", "manufacturing", "", "")
     for nobody in (None, "", "  ", "N/A", "VACANT", "SEE STATEMENT 4", "-"):
@@ -294,11 +295,30 @@ def test_average_linkage_of_many():
         assert groups(persons.average_linkage(n, similar)) == groups(persons.average_linkage(n, similar, large=1000))
 
 
-def test_a_hot_name_is_clustered_whole():
-    rng = random.Random(7)
-    nodes = [persons.Evidence("roe", "jane" if i % 2 else "john", "", "", "89501", f"acme{i % 3}", "writ", str(rng.random()) if i % 50 == 0 else "", "") for i in range(3000)]
-    labels = persons.cluster_people(nodes)
-    assert len(labels) == 3000 and all((nodes[i].first == nodes[c].first) for i, c in enumerate(labels)) and len(set(labels)) < 60
+VECTORS = persons.Vectors({}, 1000)
+
+
+def test_whole_names_against_brute_force():
+    rng = random.Random(9)
+    names_ = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(80)})
+    own = [dict(VECTORS.of(n)) for n in names_]
+    want = {(i, j) for i in range(len(names_)) for j in range(i + 1, len(names_)) if sum(x * own[j].get(g, 0) for g, x in own[i].items()) >= 0.5}
+    assert set(persons.similar_names(names_, VECTORS, 0.5)) == want and want
+
+
+def test_unlike_evidence_is_never_left_out():
+    # people named alike at one zip with unlike employers and streets: as many clusters as records, at any number
+    rng = random.Random(8)
+    for n in (80, 450):
+        nodes = [persons.Evidence("p", "roe", "jane", "", "", "89501", "acme" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)), "", f"{i} ", "") for i in range(n)]
+        assert len(set(persons.cluster_block(nodes, VECTORS)[0])) == n
+
+
+def test_initials_go_to_one_cluster_or_stay_alone():
+    ev = lambda first, emp, suffix="": persons.Evidence("p", "roe", first, "", suffix, "89501", emp, "", "", "")
+    labels, strength = persons.cluster_block([ev("jane", "acme"), ev("john", "zenith"), ev("j", "zenith"), ev("j", "other"), ev("jon~", "zenith")], VECTORS)
+    assert labels[2] == labels[1] == labels[4] != labels[0] and labels[3] == 3
+    assert strength[0] == strength[1] == float("inf") > strength[2] > 0 == strength[3]
 
 
 PEOPLE = "rec string, name string, city string, state string, zip string, employers array<string>, occupation string, address string, org string"
@@ -328,20 +348,31 @@ def test_person_clusters(frame, spark):
     assert persons.person_clusters(persons.read_people(spark.createDataFrame([], PEOPLE), [], [])).count() == 0
 
 
-def test_surname_join_finds_near_spellings(frame):
-    rng = random.Random(2)
-    parts = ["phil", "man", "tor", "hesk", "ul", "vash", "dor", "quil", "bar", "sen"]
-    stock = sorted({rng.choice(parts) + rng.choice(parts) + rng.choice(parts) for _ in range(80)})
-    rows = [("891", "p", w, 20) for w in stock]
-    typos = {}
-    for w in stock[:40]:
-        i = rng.randint(1, len(w) - 2)
-        t = w[:i] + w[i + 1 :]
-        if t not in stock and t not in typos:
-            typos[t] = w
-            rows.append(("891", "p", t, 1))
-    got = {r.sur: r.hub for r in persons.surname_hubs(frame("loc string, kind string, sur string, n long", *rows)).collect()}
-    assert sum(t in got and edit.typo_distance(t, got[t]) <= 1 for t in typos) >= 0.9 * len(typos)
+def test_the_cosine_join_decides(frame):
+    people = persons.read_people(frame(PEOPLE, person("1", "PHILERBY, WILLIAM"), person("2", "PHILEBY, WILLIAM"), person("3", "PHILERBY, WILLIAM", emp="Acme Steel")), ["william"], ["Steel"])
+    groups = lambda **kw: len({r.cluster for r in persons.person_clusters(people, **kw).collect()})
+    assert groups() == 1 and groups(least=1.1) == 2
+
+
+def test_hot_blocks_are_split_without_loss(frame, spark):
+    rng = random.Random(4)
+    rows = []
+    for p in range(60):
+        sur = "".join(rng.choice(["phil", "man", "tor", "hesk", "vash", "quil"]) for _ in range(3))
+        for k in range(4):
+            at = rng.randint(1, len(sur) - 2)
+            rows.append(person(f"{p}:{k}", f"{sur[:at] + sur[at + 1:] if k == 3 else sur}, {rng.choice(['WILLIAM', 'BILL', 'W.'])}", emp=f"Acme{p:03d}x Steel", occ=rng.choice(["WRITER", None]), zip_=rng.choice(["89501", None])))
+    people = persons.read_people(frame(PEOPLE, *rows), ["william"], ["Steel"])
+
+    def groups(split):
+        by = defaultdict(set)
+        for r in persons.person_clusters(people, split=split).collect():
+            by[r.cluster].add(r.rec)
+        return {frozenset(g) for g in by.values()}
+
+    whole, parts = groups(10_000), groups(40)
+    pairs = lambda gs: {(a, b) for g in gs for a in g for b in g if a < b}
+    assert len(pairs(whole) ^ pairs(parts)) <= 0.05 * len(pairs(whole))
 
 
 def test_linked_sources(frame):

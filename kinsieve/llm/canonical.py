@@ -3,13 +3,14 @@
 A typed value is read as core words and an industry ("Mororkar", "Laboratories"); legal forms, job
 titles, branches and the like are set aside. Core words are looked up in BK-trees over the cores of the
 reference list, sharded by length: triangle-inequality pruning returns every core within the radius,
-and the shards' winners merge. An entry is meant if its core is near enough and its industry agrees;
-initials of an entry's words stand for it where no other entry has the same. All other values are
-reported as not on the list.
+and the shards' winners merge. Of the entries so returned, that of the least distance is meant whose
+industry agrees with the typed one; initials of an entry's words stand for it where no other entry has
+the same. All other values are reported as not on the list.
 
-The reference list is broadcast, with a checked bound (`max_reference`); a longer list is to be split
-and its winners merged by distance. Work is done once for each distinct value, then for each distinct
-core, so a value that a third of all rows share costs one look-up.
+The reference list is counted first and broadcast in parts of at most `max_reference` entries; every
+part is asked and the parts' winners merge by distance, initials count over all parts. Work is done
+once for each distinct value, then for each distinct core, so a value that a third of all rows share
+costs one look-up.
 
 Defined cases: null and blank values take no part; equal distances go to the smaller id; an empty reference list maps all to 0.
 """
@@ -155,12 +156,12 @@ class EmployerReader:
 
 
 class ReferenceIndex:
-    """The reference list by core words and by initials."""
+    """A part of the reference list by core words and by initials."""
 
-    def __init__(self, entries: list[tuple[int, str, str]]):
-        self.reader = EmployerReader(sorted({i for _, _, i in entries}))
+    def __init__(self, entries: list[tuple[int, str, str]], industries: list[str]):
+        self.reader = EmployerReader(industries)
         self.by_core: dict[str, list[tuple[int, str]]] = {}
-        marks: dict[str, set[int]] = {}
+        self.by_initials: dict[str, list[int]] = {}
         for eid, name, industry in sorted(entries):
             rest = [t for t in self.reader.tokens(name) if t not in LEGAL or t in self.reader.industries[industry]]
             ws = self.reader.industries[industry]
@@ -170,78 +171,82 @@ class ReferenceIndex:
             self.by_core.setdefault(" ".join(own), []).append((eid, industry))
             # typed without blanks
             self.by_core.setdefault("".join([*own, *ws]), []).append((eid, industry))
-            marks.setdefault("".join(t[0] for t in [*own, *ws]), set()).add(eid)
-        self.by_initials = {k: min(v) for k, v in marks.items() if len(v) == 1}
-        # sharded by industry too, as an entry of another one is not meant
-        self.trees = {"": ShardedBKTree(self.by_core)}
-        for industry in self.reader.industries:
-            self.trees[industry] = ShardedBKTree(c for c, own in self.by_core.items() if any(i == industry for _, i in own))
-
-    def near(self, core: str, industry: str = "") -> list[tuple[int, str]]:
-        """(typos, core) of the reference cores meant by a typed core, the nearest first: one edit, two in
-        a long core, or a swap of neighbours, which is looked up by swapping back."""
+            self.by_initials.setdefault("".join(t[0] for t in [*own, *ws]), []).append(eid)
+        self.tree = ShardedBKTree(self.by_core)
+
+    def near(self, core: str) -> list[tuple[int, str]]:
+        """(typos, core) of every reference core within the radius of a typed one: one edit, two in a long
+        core; a swap of neighbours counts as one and is looked up by swapping back."""
+        found: dict[str, int] = {}
         if core in self.by_core:
-            return [(0, core)]
-        if len(core) < 4:
-            return []
-        radius = 1 if len(core) < 12 else 2
-        found = {c: d for i in industry.split("|") for d, c in self.trees[i].within(core, radius)}
-        for n in range(len(core) - 1):
-            swapped = core[:n] + core[n + 1] + core[n] + core[n + 2 :]
-            if swapped in self.by_core:
-                found[swapped] = 1
-        if not found and " " not in core and len(core) > 14:
-            for tail in ("inc", "llc", "llp", "corp", "company", "group", "partners", "co"):
-                if core.endswith(tail) and core[: -len(tail)] in self.by_core:
-                    return [(0, core[: -len(tail)])]
+            found[core] = 0
+        if len(core) > 3:
+            for d, c in self.tree.within(core, 1 if len(core) < 12 else 2):
+                found.setdefault(c, d)
+            for n in range(len(core) - 1):
+                swapped = core[:n] + core[n + 1] + core[n] + core[n + 2 :]
+                if swapped != core and swapped in self.by_core:
+                    found[swapped] = 1
+            if not found and " " not in core and len(core) > 14:
+                # a legal form typed without a blank
+                for tail in sorted(LEGAL, key=lambda t: (-len(t), t)):
+                    if len(tail) > 1 and core.endswith(tail) and core[: -len(tail)] in self.by_core:
+                        return [(0, core[: -len(tail)])]
         return sorted((d, c) for c, d in found.items())
 
-    def entry(self, near: list[tuple[int, str]], industry: str, initials: str) -> int:
-        best = None
-        for d, core in near:
-            for eid, own in self.by_core[core]:
-                if not industry or own in industry.split("|"):
-                    best = min(best or (9, 0), (d, eid))
-        if best:
-            return best[1]
-        return self.by_initials.get(initials, 0) if initials and not near else 0
+    def entry(self, near: list[tuple[int, str]], industry: str) -> tuple[int, int] | None:
+        """(distance, id) of the nearest entry whose industry agrees."""
+        meant = industry.split("|")
+        return min(((d, eid) for d, core in near for eid, own in self.by_core[core] if not industry or own in meant), default=None)
 
 
-def map_to_reference(values: DataFrame, value: str, entries: list[tuple[int, str, str]], max_reference: int = 100_000) -> DataFrame:
-    """values plus employer_id: the entry that each distinct value means, or 0."""
+def map_to_reference(values: DataFrame, value: str, reference: DataFrame, max_reference: int = 50_000, max_industries: int = 5_000) -> DataFrame:
+    """values plus employer_id: the entry that each distinct value means, or 0, for
+    reference(employer_id, employer_name, industry)."""
     spark = values.sparkSession
-    if len(entries) > max_reference:
-        raise ValueError(f"the reference list has {len(entries)} entries; split it in lists of {max_reference}")
-    index = spark.sparkContext.broadcast(ReferenceIndex(entries))
+    listed = reference.select(F.col("employer_id").cast("bigint").alias("i"), F.col("employer_name").alias("n"), F.col("industry").alias("k")).where("i is not null and n is not null and k is not null")
+    parts = max(1, -(-listed.count() // max_reference))
+    kinds = listed.select("k").distinct()
+    if kinds.count() > max_industries:
+        raise ValueError(f"more than {max_industries} industries: the column does not hold kinds of firms")
+    industries = sorted(r.k for r in kinds.collect())
+    reader = spark.sparkContext.broadcast(EmployerReader(industries))
     width = partitions(spark)
 
     def read(batches):
         for pdf in batches:
-            got = [index.value.reader.read(v) for v in pdf["v"]]
+            got = [reader.value.read(v) for v in pdf["v"]]
             yield pd.DataFrame({"v": pdf["v"], "core": [g[0] for g in got], "industry": [g[1] for g in got], "initials": [g[2] for g in got]})
 
-    def look_up(batches):
-        for pdf in batches:
-            near = [index.value.near(c, i) for c, i in zip(pdf["core"], pdf["industry"])]
-            keep = [n for n, x in enumerate(near) if x]
-            yield pd.DataFrame({"core": pdf["core"].iloc[keep], "industry": pdf["industry"].iloc[keep], "near_d": pd.Series([[d for d, _ in near[n]] for n in keep], index=pdf.index[keep], dtype=object), "near_c": pd.Series([[c for _, c in near[n]] for n in keep], index=pdf.index[keep], dtype=object)})
-
-    def decide(batches):
-        for pdf in batches:
-            ids = [
-                index.value.entry(list(zip(d, c)) if c is not None else [], i, m)
-                for d, c, i, m in zip(pdf["near_d"], pdf["near_c"], pdf["industry"], pdf["initials"])
-            ]
-            yield pd.DataFrame({"v": pdf["v"], "employer_id": ids}).astype({"employer_id": "int64"})
-
     # spread by another hash than that of the aggregates, whose small partitions are merged to one task
     distinct = values.select(F.col(value).alias("v")).where("trim(v) <> ''").distinct().repartition(width, F.xxhash64("v"))
     parsed = materialize(distinct.mapInPandas(read, "v string, core string, industry string, initials string"), "employers")
-    cores = (
-        parsed.select("core", "industry")
-        .distinct()
-        .repartition(width, F.xxhash64("core", "industry"))
-        .mapInPandas(look_up, "core string, industry string, near_d array<int>, near_c array<string>")
-    )
-    mapped = parsed.join(cores, ["core", "industry"], "left").select("v", "industry", "initials", "near_d", "near_c").mapInPandas(decide, "v string, employer_id bigint")
-    return values.where(f"trim(`{value}`) <> ''").join(mapped.withColumnRenamed("v", value), value)
+    asked = parsed.select("core", "industry", "initials").distinct().repartition(width, F.xxhash64("core"))
+    found = None
+    for part in range(parts):
+        own = listed.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == part) if parts > 1 else listed
+        index = spark.sparkContext.broadcast(ReferenceIndex([(r.i, r.n, r.k) for r in own.distinct().collect()], industries))
+
+        def look_up(batches, index=index):
+            memo: dict[str, list] = {}
+            for pdf in batches:
+                memo.clear()
+                out = []
+                for core, industry, initials in zip(pdf["core"], pdf["industry"], pdf["initials"]):
+                    near = memo.get(core)
+                    if near is None:
+                        near = memo[core] = index.value.near(core)
+                    best = index.value.entry(near, industry)
+                    short = index.value.by_initials.get(initials, ()) if initials else ()
+                    if near or short:
+                        out.append((core, industry, initials, *(best or (None, None)), len(near), len(short), min(short, default=0)))
+                pdf = pd.DataFrame(out, columns=["core", "industry", "initials", "d", "id", "near", "shorts", "short"])
+                yield pdf.astype({"d": "Int32", "id": "Int64", "near": "int32", "shorts": "int32", "short": "int64"})
+
+        more = asked.mapInPandas(look_up, "core string, industry string, initials string, d int, id bigint, near int, shorts int, short bigint")
+        found = more if found is None else found.unionByName(more)
+    # the parts' winners: the nearest, the smaller id; initials only where nothing is near and one entry has them
+    merged = found.groupBy("core", "industry", "initials").agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", "id"))).getField("id").alias("id"), F.sum("near").alias("near"), F.sum("shorts").alias("shorts"), F.max("short").alias("short"))
+    chosen = merged.select("core", "industry", "initials", F.coalesce("id", F.when((F.col("near") == 0) & (F.col("shorts") == 1), F.col("short"))).alias("id"))
+    mapped = parsed.join(chosen, ["core", "industry", "initials"], "left").select(F.col("v").alias(value), F.coalesce("id", F.lit(0).cast("bigint")).alias("employer_id"))
+    return values.where(f"trim(`{value}`) <> ''").join(mapped, value)

@@ -2,8 +2,9 @@
 
 Each partition packs its items best-fit, the largest first. Bins that are nearly full are final. The
 others move up as items of their own, to fewer and fewer partitions, where best fit combines them
-again, until one partition holds them, or as many as `leaf_rows` asks for. Only underfull bins ever
-move; what a task holds is bounded by leaf_rows.
+again, until one partition holds them all. A task never holds more than about `leaf_rows` of them: the
+first level has partitions enough for that, and where the underfull bins are too many for fewer tasks,
+they are dealt anew among as many, until a round leaves no fewer of them. Only underfull bins ever move.
 
 Defined cases: an item larger than the capacity is split into pieces of the full capacity and one
 rest, every other item stays whole; an item of size 0, null or below takes no room but gets a
@@ -75,7 +76,7 @@ def pack(items: DataFrame, item_id: str, size: str, capacities: list[tuple[int,
     capacities: (id, size) of each container kind, a handful. leaf_rows bounds the bins in one task.
     """
     spark = items.sparkSession
-    width = partitions(spark)
+    width = max(partitions(spark), -(-items.count() * len(capacities) // leaf_rows))
     n = F.greatest(F.coalesce(F.col(size).cast("int"), F.lit(0)), F.lit(0))
     kinds = F.array(*[F.struct(F.lit(i).cast("int").alias("capacity_id"), F.lit(c).cast("int").alias("capacity")) for i, c in capacities])
     # the pieces of an item: full ones, then the rest; an item of size 0 is one piece
@@ -89,7 +90,7 @@ def pack(items: DataFrame, item_id: str, size: str, capacities: list[tuple[int,
         .repartition(width, "id")
         .select("capacity_id", "capacity", "fill", F.array(F.struct("id", "piece", F.col("fill").alias("size"))).alias("items"))
     )
-    done, level = [], 0
+    done, level, before = [], 0, None
     while True:
         packed = materialize(rows.mapInPandas(_pack(level, nearly), _SCHEMA), f"bins{level}")
         if width == 1:
@@ -98,13 +99,14 @@ def pack(items: DataFrame, item_id: str, size: str, capacities: list[tuple[int,
         left = packed.where("not final")
         count = left.count()
         fewer = max(width // fan_in, -(-count // leaf_rows), 1)
-        if fewer >= width:
+        if fewer >= width and before is not None and count >= before:
+            # dealt anew, none of them could be combined
             done.append(packed)
             break
         done.append(packed.where("final"))
-        width, level = fewer, level + 1
+        width, level, before = min(fewer, width), level + 1, count
         # by hash of the bin, so that a lost task is redone over the same rows
-        rows = left.repartition(width, "bin").select("capacity_id", "capacity", "fill", "items")
+        rows = left.repartition(width, F.xxhash64("bin", F.lit(level))).select("capacity_id", "capacity", "fill", "items")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -90,6 +90,25 @@ QUERIES = {
     "p10_sentences": p10_sentences,
 }
 
+def _voted_sql(rounds: int) -> str:
+    """The estimates unrolled: more rounds than are needed change nothing."""
+    union = " union all ".join(f"select fp, match_id, source, w, '{f}' as field_name, {'amount_text' if f == 'amount' else f} as raw from m" for f in SURVIVING_FIELDS)
+    out = f"""
+with m as (select distinct lower(trim(record_fingerprint)) as fp, match_id, coalesce(source_section, '') as source, (coalesce(match_confidence, 0) + 10) / 110.0 as w,
+  cast(amount as varchar) as amount_text, {", ".join(f for f in SURVIVING_FIELDS if f != "amount")} from nonprofit_match where trim(record_fingerprint) <> ''),
+g as (select fp from m group by fp having count(distinct match_id) >= 2),
+c as (select * from ({union}) join g using (fp) where raw is not null and regexp_matches(raw, '[\\p{{L}}\\p{{N}}]') and lower(trim(raw)) not in ({_FILLER_SQL})),
+k as (select fp, field_name, match_id, source, w, raw, coalesce(nullif(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ''), raw) as value from c),
+v as (select fp, field_name, value, source, sum(cast(w as double)) as w, min(match_id) as row_id, arg_min(raw, match_id) as raw from k group by all),
+t0 as (select distinct source, cast(0.75 as double) as rel from v)"""
+    for n in range(rounds):
+        out += f""",
+s{n} as (select fp, field_name, value, round(sum(w * rel), 9) as support, min(row_id) as row_id, arg_min(raw, row_id) as raw from v join t{n} using (source) group by all),
+w{n} as (select * from (select *, row_number() over (partition by fp, field_name order by support desc, row_id, raw desc, value desc) as rn from s{n}) where rn = 1),
+t{n + 1} as (select source, 0.5 + 0.5 * (round(sum(case when v.value = w{n}.value then w else 0.0 end), 9) + 1) / (round(sum(w), 9) + 2) as rel from v join w{n} using (fp, field_name) group by source)"""
+    return out + f" select fp as record_fingerprint, field_name, raw as value, round(support, 3) as support from w{rounds - 1}"
+
+
 _FILLER_SQL = ", ".join(f"'{w}'" for w in _FILLER_SET)
 _GRAMS = r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
@@ -105,6 +124,7 @@ c as ({" union all ".join(f"select fp, '{f}' as field_name, match_id, match_conf
 k as (select *, row_number() over (partition by fp, field_name order by coalesce(match_confidence, -1) desc, loaded_at desc nulls last, match_id) as rn
   from c join b using (fp) where v is not null and regexp_matches(v, '[\\p{{L}}\\p{{N}}]') and lower(trim(v)) not in ({_FILLER_SQL}))
 select fp as record_fingerprint, field_name, match_id from k where rn = 1""".replace("\\\\p", "\\p"),
+    "p6_voted": _voted_sql(8),
     "p8_totals": """
 select capacity_id, cast(sum(greatest(ceil(coalesce(n_tokens, 0) / max_tokens), 1)) as bigint) as n_pieces, cast(sum(coalesce(n_tokens, 0)) as bigint) as n_tokens, cast(0 as bigint) as overfull
 from documents, pack_capacity group by capacity_id""",
@@ -126,13 +146,12 @@ def _latest(df: DataFrame, key: str, columns: list[str], version: str) -> DataFr
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    entries = [(r[0], r[1], r[2]) for r in table(spark, sf, "employer_ref").select("employer_id", "employer_name", "industry").collect()]
     c = _latest(table(spark, sf, "contribution"), "source_record_id", ["employer_raw"], "load_date")
     p = _latest(table(spark, sf, "prospect"), "prospect_id", ["company_raw"], "updated_at")
     typed = c.select(F.lit("contribution").alias("src"), F.col("source_record_id").alias("rec_id"), F.col("employer_raw").alias("typed")).unionByName(
         p.select(F.lit("prospect").alias("src"), F.col("prospect_id").alias("rec_id"), F.col("company_raw").alias("typed"))
     )
-    return map_to_reference(typed, "typed", entries).select("src", "rec_id", "employer_id")
+    return map_to_reference(typed, "typed", table(spark, sf, "employer_ref")).select("src", "rec_id", "employer_id")
 
 
 def addresses(spark: SparkSession, sf: str) -> DataFrame:

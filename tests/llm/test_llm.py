@@ -46,12 +46,23 @@ def test_map_to_reference(frame, spark):
         "c/o Velanault and Thorolley Hosp.": 5, "Cororez Bakery": 0, "Cororez Textiles": 0, "RETIRED": 0, "Zimmer Foods": 0, "n/a": 0, "Velanault&ThorolleyHospital": 5, "x" * 5000: 0, "é": 0,
     }
     d = frame("typed string, employer_id0 string", *[(k, None) for k in typed], (None, None), ("  ", None), ("RETIRED", None))
-    got = canonical.map_to_reference(d, "typed", ENTRIES)
-    assert {r.typed: r.employer_id for r in got.collect()} == typed and got.count() == len(typed) + 1
-    assert canonical.map_to_reference(spark.createDataFrame([], "typed string"), "typed", ENTRIES).count() == 0
-    assert canonical.map_to_reference(frame("typed string", "a"), "typed", []).first().employer_id == 0
+    schema = "employer_id long, employer_name string, industry string"
+    listed = frame(schema, *ENTRIES)
+    for most in (100, 2):
+        # parts of the list give the same as the whole list
+        got = canonical.map_to_reference(d, "typed", listed, max_reference=most)
+        assert {r.typed: r.employer_id for r in got.collect()} == typed and got.count() == len(typed) + 1
+    assert canonical.map_to_reference(spark.createDataFrame([], "typed string"), "typed", listed).count() == 0
+    assert canonical.map_to_reference(frame("typed string", "a"), "typed", spark.createDataFrame([], schema)).first().employer_id == 0
     with pytest.raises(ValueError):
-        canonical.map_to_reference(d, "typed", ENTRIES, max_reference=2)
+        canonical.map_to_reference(d, "typed", listed, max_industries=2)
+
+
+def test_every_entry_within_the_radius_is_returned(frame):
+    # an exact core of one industry does not hide a near one of the industry that was typed
+    listed = frame("employer_id long, employer_name string, industry string", (1, "Mororkar Laboratories", "Laboratories"), (2, "Mororkan Steel", "Steel"))
+    got = canonical.map_to_reference(frame("typed string", "Mororkam Steel", "Mororkar Steel", "Mororkar Labs", "Mororkar"), "typed", listed)
+    assert {r.typed: r.employer_id for r in got.collect()} == {"Mororkam Steel": 2, "Mororkar Steel": 2, "Mororkar Labs": 1, "Mororkar": 1}
 
 
 # shared spans
@@ -134,7 +145,7 @@ def test_leaks_against_brute_force(frame, spark):
             if any(f" {' '.join(w[s : s + 6])} " in doc for s in range(len(w) - 5)):
                 want.add((d, i))
     df, it = frame("doc_id int, text string", *docs, docs[0]), frame("item_id int, text string", *items)
-    got = leakage.find_leaks(df, "doc_id", "text", it, "item_id", "text", span=6, shard=7).collect()
+    got = leakage.find_leaks(df, "doc_id", "text", it, "item_id", "text", span=6, group=7).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
     empty = spark.createDataFrame([], "item_id int, text string")
     assert leakage.find_leaks(df, "doc_id", "text", empty, "item_id", "text").count() == 0
@@ -171,6 +182,16 @@ def test_pack(frame, spark):
     assert packing.pack(spark.createDataFrame([], "id int, size int"), "id", "size", [(1, 10)]).count() == 0
 
 
+def test_small_leaves_waste_no_more(frame):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(1, 160)) for i in range(6000)]
+    d, total = frame("id int, size int", *rows), sum(s for _, s in rows)
+    for leaf in (300, 200_000):
+        got = packing.pack(d, "id", "size", [(1, 1000)], leaf_rows=leaf).toPandas()
+        assert sorted(got.item_id) == [i for i, _ in rows] and got.groupby("container_id").piece_size.sum().max() <= 1000
+        assert total / (1000 * got.container_id.nunique()) >= 0.99
+
+
 # truth discovery
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinsieve.operators.snapshot_diff import snapshot_diff
 from kinsieve.session import table
-from kinsieve.sources.grammar import FEC_SCHEMA, PROSPECT_CSV_SCHEMA, parse_lines
+from kinsieve.sources.grammar import FEC_SCHEMA, PROSPECT_CSV_SCHEMA, RecordSchema, parse_lines
 
 CONTRIBUTION_FIELDS = ["donor_name_raw", "employer_raw", "city", "state", "zip", "donation_date", "amount", "transaction_type", "memo_flag"]
 
@@ -54,18 +54,20 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return parsed_lines(spark, sf).where("reason is not null").select("raw_ref", "reason")
 
 
+LOADED = ["prospect_id", *FEC_SCHEMA.names, "company", "address"]
+
+
 def p7_loaded(spark: SparkSession, sf: str) -> DataFrame:
-    """The typed records of the lines that load."""
-    fec = parse_lines(table(spark, sf, "fec_raw"), "raw_ref", "line", FEC_SCHEMA).where("reason is null")
-    cell = {n: F.col("cells")[i] for i, n in enumerate(FEC_SCHEMA.names)}
-    return fec.select(
-        "raw_ref",
-        cell["sub_id"].alias("source_record_id"),
-        cell["name"].alias("donor_name_raw"),
-        F.nullif(cell["state"], F.lit("")).alias("state"),
-        F.to_date(F.nullif(cell["date"], F.lit("")), "MMddyyyy").alias("donation_date"),
-        cell["amount"].cast("double").alias("amount"),
-    )
+    """The typed records of the lines that load, of both tables; a column that a table lacks is null."""
+    good = parsed_lines(spark, sf).where("reason is null")
+
+    def records(name: str, schema: RecordSchema) -> DataFrame:
+        cell = {n: F.nullif(F.col("cells")[i], F.lit("")) for i, n in enumerate(schema.names)}
+        own = [cell.get(n, F.lit(None).cast("string")).alias(n) for n in LOADED]
+        return good.where(F.col("table_name") == name).select("table_name", "raw_ref", *own)
+
+    out = records("fec_raw", FEC_SCHEMA).unionByName(records("prospect_csv_raw", PROSPECT_CSV_SCHEMA))
+    return out.withColumn("date", F.to_date("date", "MMddyyyy")).withColumn("amount", F.col("amount").cast("double"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_changed_fields": p4_changed_fields, "p7_found": p7_found, "p7_loaded": p7_loaded}
@@ -108,10 +110,13 @@ def _csv_cells() -> str:
     return ", ".join(f"regexp_extract(line, '^{_CSV_CELL}" .replace("^" + _CSV_CELL, "^" + (_CSV_CELL + ",") * i + f"({_CSV_CELL})") + f"', 1) as c{i + 1}" for i in range(6))
 
 
-SQL = {
-    "p4_found": f"select table_name, record_key, snapshot_no, change_kind from ({_DIFFS})",
-    "p4_changed_fields": f"select table_name, snapshot_no, field_name, count(*) as n_records from (select table_name, snapshot_no, unnest(changed) as field_name from ({_DIFFS})) where field_name is not null group by all",
-    "p7_found": rf"""
+def _loaded_sql(cells: dict[str, str]) -> str:
+    """The columns of p7_loaded from the cells that a table has."""
+    kinds = {"date": "cast(try_strptime({0}, '%m%d%Y') as date)", "amount": "cast({0} as double)"}
+    return ", ".join(f"{kinds.get(n, 'cast({0} as varchar)').format(f'nullif({cells[n]}, {chr(39) * 2})' if n in cells else 'null')} as {n}" for n in LOADED)
+
+
+_PARSED = rf"""
 with f as (select raw_ref, string_split(line, '|') as c from fec_raw),
 g as (select raw_ref, c, case when len(c) <> 21 then 'wrong_column_count'
     when not (c[14] = '' or (regexp_full_match(c[14], '[0-9]{{8}}') and c[14][5:8] <> '0000' and try_strptime(c[14], '%m%d%Y') is not null))
@@ -121,16 +126,14 @@ g as (select raw_ref, c, case when len(c) <> 21 then 'wrong_column_count'
 p as (select raw_ref, line, not regexp_full_match(line, '{_CSV_CELL}(?:,{_CSV_CELL})*') as broken,
     len(regexp_replace(regexp_replace(line, '"(?:[^"]|"")*"', 'q', 'g'), '[^,]', '', 'g')) + 1 as n, {_csv_cells()}
     from prospect_csv_raw where row_no > 1),
-q as (select raw_ref, case when broken then 'broken_quoting' when n <> 6 then 'wrong_column_count'
+q as (select *, case when broken then 'broken_quoting' when n <> 6 then 'wrong_column_count'
     when trim({_UNQUOTE.format("c1")}) = '' or len(list_filter(string_split_regex({_UNQUOTE.format("c2")}, '\s+'), lambda x: x <> '')) < 2
-      or not regexp_full_match(trim({_UNQUOTE.format("c6")}), '([A-Z]{{2}})?') then 'invalid_value' end as reason from p)
-select raw_ref, reason from g where reason is not null union all select raw_ref, reason from q where reason is not null""",
-    "p7_loaded": r"""
-with f as (select raw_ref, string_split(line, '|') as c from fec_raw)
-select raw_ref, c[21] as source_record_id, c[8] as donor_name_raw, nullif(c[10], '') as state,
-  cast(try_strptime(nullif(c[14], ''), '%m%d%Y') as date) as donation_date, cast(c[15] as double) as amount
-from f where len(c) = 21 and (c[14] = '' or (regexp_full_match(c[14], '[0-9]{8}') and c[14][5:8] <> '0000' and try_strptime(c[14], '%m%d%Y') is not null))
-  and regexp_full_match(c[15], '-?[0-9]+(\.[0-9]{1,2})?') and regexp_full_match(c[11], '([0-9]{5}([0-9]{4})?)?')
-  and regexp_full_match(c[10], '([A-Z]{2})?') and c[7] in ('IND', 'ORG', 'COM', 'CAN', 'PAC', 'CCM', 'PTY', '')
-  and trim(c[8]) <> '' and regexp_full_match(c[21], '[0-9]+')""",
+      or not regexp_full_match(trim({_UNQUOTE.format("c6")}), '([A-Z]{{2}})?') then 'invalid_value' end as reason from p)"""
+SQL = {
+    "p4_found": f"select table_name, record_key, snapshot_no, change_kind from ({_DIFFS})",
+    "p4_changed_fields": f"select table_name, snapshot_no, field_name, count(*) as n_records from (select table_name, snapshot_no, unnest(changed) as field_name from ({_DIFFS})) where field_name is not null group by all",
+    "p7_found": f"{_PARSED} select raw_ref, reason from g where reason is not null union all select raw_ref, reason from q where reason is not null",
+    "p7_loaded": f"""{_PARSED}
+select 'fec_raw' as table_name, raw_ref, {_loaded_sql({n: f"c[{i + 1}]" for i, n in enumerate(FEC_SCHEMA.names)})} from g where reason is null
+union all select 'prospect_csv_raw' as table_name, raw_ref, {_loaded_sql({n: _UNQUOTE.format(f"c{i + 1}") for i, n in enumerate(PROSPECT_CSV_SCHEMA.names)})} from q where reason is null""",
 }

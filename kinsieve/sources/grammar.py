@@ -6,10 +6,12 @@
     quoted  := '"' ( any but '"' | '""' )* '"'      directly before a delimiter or the record's end
     bare    := ( any but '"', delimiter, newline )*
 
-`parse_record` reads one record by recursive descent and gives its cells, or the place of the first
-syntax error. `parse_text` reads a whole file: behind a broken quote nothing tells which newline ends
-the record, so it resumes at the next anchor, a line start that looks like a record's start and from
-which a record of the right width parses; the records behind are loaded, not swallowed.
+`parse_text` reads the records of a text by recursive descent. A syntax error does not end it: it resumes
+at the next record-start anchor. Where record starts are known (lines that a table holds one by one are
+put together to a text with the place of each) those are the anchors, and no cell runs past one. Else
+an anchor is a line start that looks like a record's start and from which a record of the right width
+parses; behind a broken quote nothing else tells which newline ends the record. The records behind are
+loaded, not swallowed. Next quotes are looked up in a list, so resuming costs no second scan.
 
 Values are checked by the schema's rules once the syntax holds. Reasons, the first that applies:
 broken_quoting, wrong_column_count, invalid_value.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -54,47 +57,53 @@ class Parsed:
 
 
 class _Reader:
-    """Recursive descent over one text; `stop_at_newline` is off where the record is given by itself."""
-
-    def __init__(self, text: str, schema: RecordSchema, at: int = 0, stop_at_newline: bool = False):
-        self.text, self.schema, self.at, self.stops = text, schema, at, stop_at_newline
-        ends = re.escape(schema.delimiter) + ("\"" if schema.quoting else "") + ("\n" if stop_at_newline else "")
-        self.bare_end = re.compile(f"[{ends}]")
-
-    def record(self) -> list[str]:
+    """Recursive descent over a text up to `end`; a record also ends at a newline where `lines` is set.
+    `keep` off only checks: no cell is copied."""
+
+    def __init__(self, text: str, schema: RecordSchema, lines: bool, quotes: list[int] | None = None):
+        self.text, self.schema, self.lines = text, schema, lines
+        self.at, self.end, self.keep = 0, len(text), True
+        marks = re.escape(schema.delimiter) + ('"' if schema.quoting else "") + ("\n" if lines else "")
+        self.bare_end = re.compile(f"[{marks}]")
+        self.quotes = quotes if quotes is not None else [m.start() for m in re.finditer('"', text)] if schema.quoting else []
+
+    def record(self, at: int, end: int, keep: bool = True) -> list[str]:
+        self.at, self.end, self.keep = at, end, keep
         cells = [self.cell()]
-        while self.at < len(self.text) and self.text[self.at] == self.schema.delimiter:
+        while self.at < self.end and self.text[self.at] == self.schema.delimiter:
             self.at += 1
             cells.append(self.cell())
         return cells
 
     def cell(self) -> str:
-        if self.schema.quoting and self.text.startswith('"', self.at):
+        if self.schema.quoting and self.at < self.end and self.text[self.at] == '"':
             return self.quoted()
         return self.bare()
 
     def bare(self) -> str:
-        m = self.bare_end.search(self.text, self.at)
-        end = m.start() if m else len(self.text)
-        if m and m.group() == '"' and self.schema.quoting:
-            raise SyntaxFault(end, "quote inside a bare cell")
-        value, self.at = self.text[self.at : end], end
+        m = self.bare_end.search(self.text, self.at, self.end)
+        stop = m.start() if m else self.end
+        if m and self.schema.quoting and m.group() == '"':
+            raise SyntaxFault(stop, "quote inside a bare cell")
+        value, self.at = self.text[self.at : stop] if self.keep else "", stop
         return value
 
     def quoted(self) -> str:
         begin, out = self.at, []
         self.at += 1
+        n = bisect_left(self.quotes, self.at)
         while True:
-            close = self.text.find('"', self.at)
-            if close < 0:
+            if n == len(self.quotes) or self.quotes[n] >= self.end:
                 raise SyntaxFault(begin, "quote is never closed")
-            out.append(self.text[self.at : close])
-            self.at = close + 1
-            if self.text.startswith('"', self.at):
+            close = self.quotes[n]
+            if self.keep:
+                out.append(self.text[self.at : close])
+            self.at, n = close + 1, n + 1
+            if self.at < self.end and self.text[self.at] == '"':
                 out.append('"')
-                self.at += 1
+                self.at, n = self.at + 1, n + 1
                 continue
-            if self.at == len(self.text) or self.text[self.at] == self.schema.delimiter or (self.stops and self.text[self.at] == "\n"):
+            if self.at == self.end or self.text[self.at] == self.schema.delimiter or (self.lines and self.text[self.at] == "\n"):
                 return "".join(out)
             raise SyntaxFault(close, "text behind a closing quote")
 
@@ -109,53 +118,63 @@ def _judge(cells: list[str], schema: RecordSchema) -> Parsed:
     return Parsed(tuple(cells), None, None, None)
 
 
-def parse_record(line: str | None, schema: RecordSchema) -> Parsed:
-    """One record that is given by itself; null counts as the empty text."""
-    try:
-        return _judge(_Reader(line or "", schema).record(), schema)
-    except SyntaxFault as e:
-        return Parsed(None, "broken_quoting", e.at, e.what)
-
-
-def parse_text(text: str | None, schema: RecordSchema) -> Iterator[tuple[int, Parsed]]:
-    """(offset, result) of every record of a file; empty lines are skipped."""
+def parse_text(text: str | None, schema: RecordSchema, starts: list[int] | None = None) -> Iterator[tuple[int, Parsed]]:
+    """(offset, result) of every record of a text. `starts`: the offsets at which records begin, where they
+    are known, each behind a newline that belongs to none; without them lines are looked at, and empty
+    ones skipped."""
+    if starts is not None:
+        text = text or ""
+        reader = _Reader(text, schema, lines=False)
+        for at, end in zip(starts, [*(s - 1 for s in starts[1:]), len(text)]):
+            try:
+                yield at, _judge(reader.record(at, end), schema)
+            except SyntaxFault as e:
+                # resumes at the next anchor
+                yield at, Parsed(None, "broken_quoting", e.at - at, e.what)
+        return
     text, at = (text or "").replace("\r\n", "\n"), 0
+    reader = _Reader(text, schema, lines=True)
     anchor = re.compile(schema.anchor or f"[^{re.escape(schema.delimiter)}\n]*{re.escape(schema.delimiter)}")
     while at < len(text):
         if text[at] == "\n":
             at += 1
             continue
-        reader = _Reader(text, schema, at, stop_at_newline=True)
         try:
-            cells = reader.record()
-            yield at, _judge(cells, schema)
+            yield at, _judge(reader.record(at, len(text)), schema)
             at = reader.at + 1
         except SyntaxFault as e:
-            yield at, Parsed(None, "broken_quoting", e.at, e.what)
-            at = _resume(text, at, anchor, schema)
+            yield at, Parsed(None, "broken_quoting", e.at - at, e.what)
+            at = _resume(reader, at, anchor)
+
+
+def parse_record(line: str | None, schema: RecordSchema) -> Parsed:
+    """One record that is given by itself; null counts as the empty text."""
+    return next(parse_text(line, schema, [0]))[1]
 
 
-def _resume(text: str, at: int, anchor: re.Pattern, schema: RecordSchema) -> int:
+def _resume(reader: _Reader, at: int, anchor: re.Pattern) -> int:
     """The next line start that begins like a record and from which one of the right width parses, or
     on whose own line the next fault lies; the text's end where there is none."""
+    text = reader.text
     start = text.find("\n", at) + 1
     while start:
         if anchor.match(text, start):
-            probe = _Reader(text, schema, start, stop_at_newline=True)
             try:
-                if len(probe.record()) == len(schema.names):
+                if len(reader.record(start, len(text), keep=False)) == len(reader.schema.names):
                     return start
             except SyntaxFault as e:
-                if "\n" not in text[start : e.at]:
+                line_end = text.find("\n", start)
+                if line_end < 0 or e.at < line_end:
                     return start
         start = text.find("\n", start) + 1
     return len(text)
 
 
 # The layout of the individual contributions file.
-FEC_COLUMNS = (
-    "committee_id amendment report pgi image tx_type entity name city state zip employer occupation date amount other_id tran_id file_num memo_cd memo_text sub_id"
-).split()
+FEC_COLUMNS = [
+    "committee_id", "amendment", "report", "pgi", "image", "tx_type", "entity", "name", "city", "state", "zip", "employer", "occupation", "date", "amount",
+    "other_id", "tran_id", "file_num", "memo_cd", "memo_text", "sub_id",
+]
 FEC_ENTITIES = {"", "IND", "ORG", "COM", "CAN", "PAC", "CCM", "PTY"}
 
 
@@ -222,7 +241,13 @@ def parse_lines(df: DataFrame, ref: str, line: str, schema: RecordSchema) -> Dat
 
     def run(batches):
         for pdf in batches:
-            parsed = [parse_record(x if isinstance(x, str) else None, schema) for x in pdf["line"]]
+            # the batch as one text, every record's start an anchor
+            lines = [x if isinstance(x, str) else "" for x in pdf["line"]]
+            starts, at = [], 0
+            for x in lines:
+                starts.append(at)
+                at += len(x) + 1
+            parsed = [p for _, p in parse_text("\n".join(lines), schema, starts)]
             yield pd.DataFrame(
                 {
                     "raw_ref": pdf["raw_ref"],

@@ -21,6 +21,10 @@ def test_context(frame):
     texts = frame("id int, body string", (1, "the report names Jane Doe among the other officers of the company"), (2, "Mary Jane Doe"), (3, None))
     found = frame("text_id int, pattern string, company string", (1, "jane doe", "Acme"), (2, "jane doe", None), (3, "jane doe", None))
     assert {r.text_id: r.credible for r in T.credible_mentions(found, texts, "id", "body").collect()} == {1: True, 2: False}
+    # every place is tested, not the first one only
+    twice = frame("id int, body string", (1, "Mary Jane Doe spoke. " + "x" * 3000 + " Later the report names Jane Doe among the other officers of the company"))
+    got = T.credible_mentions(found.where("text_id = 1"), twice, "id", "body").orderBy("place").collect()
+    assert [(r.place, r.credible) for r in got] == [(6, False), (3046, True)]
 
 
 def test_paging(spark, frame, tmp_path):

@@ -34,6 +34,9 @@ LEGAL = set(
 TITLES = "vp|ceo|cfo|coo|evp|svp|president|owner|partner|manager|director|employee|consultant|founder|attorney|engineer|chairman|principal|staff"
 _PREFIX = re.compile(rf"^\s*(?:c/o|d/?b/?a|f/?k/?a|a/?k/?a|div(?:ision|\.)? of|subsidiary of|(?:{TITLES})\s*,|[a-z .]{{2,20}} (?:at|for) )\s*", re.I)
 _TAIL = re.compile(r"\([^)]*\)|\s/\s.*$|\s-\s*hq\b.*$|,?\s+dept\b.*$|\bmain office\b|\bbranch\s+\d+.*$|\bhq\s*$", re.I)
+_INITIALS = re.compile(r"\b([a-z])\.\s?([a-z])\.(?:\s?([a-z])\.)?(?:\s?([a-z])\.)?(?=\s|,|$)")
+_LETTERS = re.compile(r"[a-z]+")
+_NO_DIGIT = set("0158").isdisjoint
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _DIGIT = str.maketrans("0158", "olsb")
 
@@ -98,15 +101,26 @@ class EmployerReader:
         return got
 
     def tokens(self, value: str) -> list[str]:
-        text = _CAMEL.sub(" ", plain(value))
-        text = _TAIL.sub(" ", text)
-        for _ in range(2):
-            text = _PREFIX.sub("", text)
-        text = text.lower().replace("nat'l", "national").replace("&", " ")
-        text = re.sub(r"\b([a-z])\.\s?([a-z])\.(?:\s?([a-z])\.)?(?:\s?([a-z])\.)?(?=\s|,|$)", lambda m: "".join(x for x in m.groups() if x), text)
-        text = re.sub(r"'s\b", "", text).replace("'", "")
-        text = re.sub(r"(?<=[a-z])[0158]|[0158](?=[a-z])", lambda m: m.group().translate(_DIGIT), text)
-        out = re.findall(r"[a-z]+", text)
+        text = plain(value)
+        low = text.lower()
+        if low != text and text.upper() != text:
+            text = _CAMEL.sub(" ", text)
+        # most values have none of what the patterns look for
+        if any([x in low for x in ("(", "/", "hq", "dept", "main office", "branch")]):
+            text = _TAIL.sub(" ", text)
+        if "/" in low or "," in low or " of " in low or " at " in low or " for " in low or low.lstrip()[:3] in ("dba", "fka", "aka"):
+            for _ in range(2):
+                text = _PREFIX.sub("", text)
+        text = text.lower()
+        if "&" in text or "'" in text:
+            text = text.replace("nat'l", "national").replace("&", " ")
+        if "." in text:
+            text = _INITIALS.sub(lambda m: "".join(x for x in m.groups() if x), text)
+        if "'" in text:
+            text = re.sub(r"'s\b", "", text).replace("'", "")
+        if not _NO_DIGIT(text):
+            text = re.sub(r"(?<=[a-z])[0158]|[0158](?=[a-z])", lambda m: m.group().translate(_DIGIT), text)
+        out = _LETTERS.findall(text)
         return ["national" if t == "natl" else t for t in out]
 
     def read(self, value: str) -> tuple[str, str, str]:

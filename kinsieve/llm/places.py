@@ -11,6 +11,8 @@ _BOX = re.compile(r"\b(?:p\.?\s*o\.?\s*)?(?:box|b0x)\s*#?\s*(\d+)\b|\bpob\s*#?\s
 _UNIT = re.compile(
     r"(?<![a-z])(?:apt|apartment|apartm?|unit|ste|suite|fl|floor|flr|rm|room)\.?\s*(?:#|no\.?)?\s*(\d{1,3}\s?-?[a-z]?|[a-z]\d{0,3}|[a-z]-?\d{1,3})(?![a-z0-9])|#\s*(\d{1,4}\s?-?[a-z]?|[a-z]-?\d{0,3})(?![a-z0-9])"
 )
+_UNIT_SIGN = re.compile(r"#|apt|apa|unit|ste|sui|fl|rm|room")
+_SEGMENT = re.compile(r"[,;\n]|\s-\s")
 _CARE = re.compile(r"^\s*(?:c/o|c\.o\.|attn|attention|%|care of)\b.*$")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NUMBER = re.compile(r"^(\d{1,6})(?:\s|$|-(?=\D))")
@@ -44,11 +46,11 @@ def city_key(city: str | None) -> str:
 def read_address(text: str | None, zip_code: str | None = None) -> tuple[str, str, str, list[str], str] | None:
     """(zip5, number, unit, street words, rest) of a typed address, or None where it holds none. A box
     is the street word 'pobox' with its number. rest: what stood in the other segments."""
-    if not isinstance(text, str) or re.sub(r"[^a-z0-9]", "", text.lower()) in NO_ADDRESS:
+    if not isinstance(text, str) or len(text) < 16 and re.sub(r"[^a-z0-9]", "", text.lower()) in NO_ADDRESS:
         return None
-    raw = _CAMEL.sub(" ", text)
-    z = zip5(zip_code)
-    t = "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c)).lower()
+    raw = text if text.isupper() or text.islower() else _CAMEL.sub(" ", text)
+    z = zip_code if zip_code and len(zip_code) == 5 and zip_code.isdecimal() else zip5(zip_code)
+    t = (raw if raw.isascii() else "".join(c for c in unicodedata.normalize("NFKD", raw) if not unicodedata.combining(c))).lower()
     m = None
     for m in _ZIP.finditer(t):
         pass
@@ -56,20 +58,20 @@ def read_address(text: str | None, zip_code: str | None = None) -> tuple[str, st
         z = z or m.group(1)
         t = t[: m.start()] + ", " + t[m.end() :]
     # segments; a hyphen between blanks also parts them
-    parts = [p.strip() for p in re.split(r"[,;\n]|\s-\s", t)]
-    parts = [p for p in parts if p and not _CARE.match(p) and p not in ("usa", "us")]
+    parts = [p.strip() for p in _SEGMENT.split(t)]
+    parts = [p for p in parts if p and not (p[0] in "ac%" and _CARE.match(p)) and p not in ("usa", "us")]
     unit = ""
     kept = []
     for p in parts:
-        b = _BOX.search(p)
+        b = _BOX.search(p) if "b" in p or "p" in p else None
         if b:
             number = next(g for g in b.groups() if g)
             return z, number.lstrip("0") or "0", "", ["pobox"], " ".join(kept)
-        u = _UNIT.search(p)
-        if u and not unit:
+        u = None if unit or not _UNIT_SIGN.search(p) else _UNIT.search(p)
+        if u:
             unit = re.sub(r"[^a-z0-9]", "", next(g for g in u.groups() if g))
             p = (p[: u.start()] + " " + p[u.end() :]).strip()
-        p = re.sub(r"[#]", " ", p).strip(" .")
+        p = p.replace("#", " ").strip(" .")
         if p:
             kept.append(" ".join(p.split()))
     for n, p in enumerate(kept):

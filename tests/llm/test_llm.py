@@ -322,7 +322,7 @@ VECTORS = persons.Vectors({}, 1000)
 def test_whole_names_against_brute_force():
     rng = random.Random(9)
     names_ = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 9))) for _ in range(80)})
-    own = [dict(VECTORS.of(n)) for n in names_]
+    own = [VECTORS.of(n) for n in names_]
     want = {(i, j) for i in range(len(names_)) for j in range(i + 1, len(names_)) if sum(x * own[j].get(g, 0) for g, x in own[i].items()) >= 0.5}
     assert set(persons.similar_names(names_, VECTORS, 0.5)) == want and want
 

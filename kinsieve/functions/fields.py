@@ -90,9 +90,43 @@ def location_status(pc: Column, ps: Column, pz: Column, dc: Column, ds: Column,
     )
 
 
+def location_support(p_address: Column, pc: Column, ps: Column, pz: Column, street: Column, c: Column, s: Column, z: Column, org_city: Column, org_state: Column) -> Column:
+    """How a filed person's place supports a prospect's, in eight levels: the person's own address where
+    the filing has its state, else the organisation's."""
+    ours, theirs, org = normalize_state(ps), normalize_state(s), normalize_state(org_state)
+
+    def same(a: Column, b: Column) -> Column:
+        return (a != "") & (a == b)
+
+    city = same(normalize_city(pc), normalize_city(c))
+    person = (
+        F.when(ours != theirs, "mismatch")
+        .when(city & same(free_text(p_address), free_text(street)), "person_full_address")
+        .when(city & same(normalize_zip5(pz), normalize_zip5(z)), "person_city_state_zip")
+        .when(city, "person_city_state")
+        .otherwise("person_state")
+    )
+    filer = F.when(ours != org, "mismatch").when(same(normalize_city(pc), normalize_city(org_city)), "org_city_state").otherwise("org_state")
+    return F.when(ours == "", "unknown").when(theirs != "", person).when(org != "", filer).otherwise("unknown")
+
+
 # addresses
 
 
+def prospect_address_like(address: Column, city: Column, state: Column, zip_code: Column) -> Column:
+    """The address of a prospect as 'street, city, state zip', with an unknown street where there is none;
+    null without city and state."""
+    a, c, s, z = text(address), text(city), text(state), text(zip_code)
+    tail = F.trim(F.concat(c, F.lit(", "), s, F.lit(" "), z))
+    return F.when((a != "") & (c != "") & (s != ""), F.concat(a, F.lit(", "), tail)).when((c != "") | (s != ""), F.concat(F.lit("UNKNOWN, "), tail))
+
+
+def property_address_like(city: Column, state: Column, zip_code: Column, line: Column) -> Column:
+    """The same for a property's site or its owner's mail: city and state if both are there, else the line."""
+    c, s = text(city), text(state)
+    return F.when((c != "") & (s != ""), F.trim(F.concat(F.lit("UNKNOWN, "), c, F.lit(", "), s, F.lit(" "), text(zip_code)))).otherwise(line)
+
+
 def _token(c: Column) -> Column:
     return collapse_ws(F.regexp_replace(F.upper(text(c)), "[.,]", ""))
 
@@ -232,3 +266,20 @@ def record_key(*parts: Column) -> Column:
 def owner_fingerprint(owners: Column) -> Column:
     """Sorted lower-case owner names, joined; the same whatever their order."""
     return F.array_join(F.array_sort(F.filter(F.transform(owners, lambda x: F.lower(x)), lambda x: x != "")), "|")
+
+
+def receipt_link(source: Column, committee: Column, last_name: Column, day: Column) -> Column:
+    """Address of the public search for a contribution: committee, surname and, where known, its day."""
+    d = F.date_format(day, "MM/dd/yyyy")
+    base = F.concat(F.lit("https://www.fec.gov/data/receipts/individual-contributions/?committee_id="), F.url_encode(committee), F.lit("&contributor_name="), F.url_encode(F.upper(text(last_name))))
+    dated = F.concat(base, F.lit("&min_date="), F.url_encode(d), F.lit("&max_date="), F.url_encode(d))
+    return F.when((source == "FEC") & (text(committee) != ""), F.coalesce(dated, base)).otherwise("")
+
+
+def schedule_a_key(line: Column) -> Column:
+    """Identity of a section 527 Schedule A line: form, schedule, recipient, donor, amount, day; null for
+    other lines and for those of fewer than 17 columns."""
+    cells = F.split(line, r"\|", -1)
+    cell = lambda i: F.trim(F.get(cells, F.lit(i)))
+    day = F.coalesce(F.date_format(parse_date(cell(16)), "yyyy-MM-dd"), F.lit(""))
+    return F.when((F.size(cells) >= 17) & (F.get(cells, F.lit(0)) == "A"), F.concat_ws("|", cell(1), cell(2), F.lower(cell(3)), F.lower(cell(5)), cell(13), day))

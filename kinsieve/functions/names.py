@@ -109,6 +109,29 @@ def name_variants(c: Column) -> Column:
     return F.concat(*out)
 
 
+def filed_name_variants(c: Column) -> Column:
+    """array<string> of the spellings under which filings may name a person. Unlike `name_variants` the
+    nicknames apply to every spelling so far, and hyphens are opened behind a dropped middle name too. A
+    double surname is never cut to its last part."""
+    cleaned = F.lower(collapse_ws(F.replace(F.coalesce(c, F.lit("")), F.lit(","), F.lit(""))))
+    bare = strip_suffixes(cleaned)
+    forms = F.when((bare != cleaned) & (F.length(bare) >= 4), F.array(cleaned, bare)).otherwise(F.array(cleaned))
+    double = F.contains(F.element_at(F.split(cleaned, " "), -1), F.lit("-"))
+    opened = lambda x: collapse_ws(F.replace(x, F.lit("-"), F.lit(" ")))
+    ws = lambda x: F.split(x, " ")
+    ends = lambda x: F.concat_ws(" ", F.get(ws(x), F.lit(0)), F.element_at(ws(x), -1))
+    cut = F.filter(forms, lambda x: ~double & (F.size(ws(x)) >= 3))
+    cut_open = F.filter(F.transform(F.filter(forms, lambda x: F.contains(x, F.lit("-"))), opened), lambda x: ~double & (F.size(ws(x)) >= 3))
+    short = F.concat(F.transform(cut, ends), F.transform(cut_open, ends))
+    plain = F.concat(forms, F.transform(F.filter(forms, lambda x: F.contains(x, F.lit("-"))), opened), short, F.transform(short, opened))
+    plain = F.array_distinct(F.filter(plain, lambda x: (x == cleaned) | (F.length(x) >= 4)))
+    rest = lambda x: F.array_join(F.slice(ws(x), 2, F.greatest(F.size(ws(x)) - 1, F.lit(0))), " ")
+    long = F.filter(plain, lambda x: F.size(ws(x)) >= 2)
+    nicked = F.flatten(F.transform(long, lambda x: F.transform(nicknames(F.get(ws(x), F.lit(0))), lambda n: F.concat_ws(" ", n, rest(x)))))
+    nicked_ends = F.flatten(F.transform(F.filter(long, lambda x: F.size(ws(x)) >= 3), lambda x: F.transform(nicknames(F.get(ws(x), F.lit(0))), lambda n: F.concat_ws(" ", n, F.element_at(ws(x), -1)))))
+    return F.filter(F.array_distinct(F.concat(plain, F.filter(F.concat(nicked, nicked_ends), lambda x: F.length(x) >= 4))), lambda x: x != "")
+
+
 def is_nickname_of(a: Column, b: Column) -> Column:
     x, y = F.lower(a), F.lower(b)
     return (x == y) | F.array_contains(nicknames(x), y)

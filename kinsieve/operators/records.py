@@ -99,3 +99,27 @@ def upper_median(df: DataFrame, value: str, buckets: int = 10_000) -> DataFrame:
     inside = placed.drop("total").join(F.broadcast(held.select("b", "total", (F.col("upto") - F.col("n")).alias("before"))), "b").groupBy("v", "total", "before").agg(F.count("*").alias("n"))
     run = inside.withColumn("upto", F.col("before") + F.sum("n").over(W.orderBy("v"))).where(F.col("upto") > F.floor(F.col("total") / 2))
     return run.agg(F.min("v").alias("median"), F.max("total").alias("n_values"))
+
+
+def grants_of_matched(matches: DataFrame, grants: DataFrame, ein: str, person: str, order: list[Column]) -> DataFrame:
+    """grants joined by EIN to the foundations that somebody was matched to: how many people, the first of
+    them by `order`, and whether the link is ambiguous. People fold to one row per foundation before the
+    join; a list of all of them would have no bound (it is matches itself)."""
+    best = keep_best(matches.where(F.col(ein) != ""), [ein, person], [*order, F.asc(person)])
+    first = keep_best(best, [ein], [*order, F.asc(person)]).select(ein, F.col(person).alias("first_" + person))
+    counts = best.groupBy(ein).agg(F.count("*").alias("n_people"))
+    status = F.when(F.col("n_people") > 1, "ambiguous_foundation_link").otherwise("verified_foundation_link")
+    return grants.join(counts.join(first, ein), ein).withColumn("link_status", status)
+
+
+def first_delivery(rows: DataFrame, key: str, day: str, days: int = 90) -> DataFrame:
+    """Where nothing was delivered before, only dated rows of the last `days` before the newest count."""
+    newest = rows.agg(F.max(day).alias("_newest"))
+    return rows.where(F.col(day).isNotNull()).join(F.broadcast(newest)).where(F.col(day) >= F.date_sub("_newest", days)).drop("_newest").dropDuplicates([key])
+
+
+def since_cursor(rows: DataFrame, key: str, posted: str, cursor: str | None, seen: DataFrame, overlap: int = 1, days: int = 90) -> DataFrame:
+    """Rows from a day before the cursor on that were not seen yet; without a cursor those of the last days."""
+    if cursor is None:
+        return first_delivery(rows, key, posted, days)
+    return new_rows(rows.where(F.col(posted) >= F.date_sub(F.lit(cursor).cast("date"), overlap)), seen, key)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from kinsieve.functions.fields import parse_date
 from kinsieve.operators.changes import advance_watermarks, classify_changes, pages_left, should_alert, upsert
 from kinsieve.operators.textsearch import nearest, search, word_grams
-from kinsieve.plans import pipelines
 from kinsieve.session import table
 from kinsieve.sources import edgar, json_records, tax_returns
 from kinsieve.sources.sinks import escape_csv
@@ -149,17 +148,7 @@ def alert_rule(spark, sf):
     return d.withColumn("alert", should_alert(F.col("change_kind"), F.col("first_scan"), F.lit(False)))
 
 
-# pipelines
-
-
-@query()
-def political_pipeline(spark, sf):
-    return pipelines.match_contributions(table(spark, sf, "prospect"), table(spark, sf, "contribution"))
-
-
-@query()
-def nonprofit_pipeline(spark, sf):
-    return pipelines.match_nonprofit(table(spark, sf, "prospect"), table(spark, sf, "nonprofit_record"))
+# totals
 
 
 @query("select month, count(*) as n, round(sum(amount), 2) as total from (select strftime(cast(try_strptime(left(donation_date, 10), '%Y-%m-%d') as date), '%Y-%m') as month, amount from contribution where regexp_matches(donation_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')) where month is not null group by 1")

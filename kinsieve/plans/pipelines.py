@@ -10,6 +10,7 @@ from kinsieve.functions import fields as X
 from kinsieve.functions import names as N
 from kinsieve.operators import records as R
 from kinsieve.operators.changes import classify_changes
+from kinsieve.session import materialize
 
 PROSPECT = ["prospect_id", "name_raw", "alias_names", "company_raw", "other_companies", "title", "city", "state", "zip"]
 PROPERTY_CHANGES = {
@@ -24,21 +25,25 @@ def match_contributions(prospects: DataFrame, contributions: DataFrame) -> DataF
     """Contributions by the prospects they may be of, a row per pair with the nearest spelling and what
     speaks for it: names, employer, place, occupation, and how many such signals there are.
 
-    Both sides are folded to one row per key first, only keys and compared fields go through the join,
-    and names are counted by aggregates; the join is the one large shuffle.
+    Both sides are folded to one row per key first. A popular name is one row until the very last join,
+    and names are counted by aggregates.
     """
-    p = prospects.where("prospect_id is not null").groupBy("prospect_id").agg(F.max(F.struct(*PROSPECT[1:])).alias("p")).select("prospect_id", "p.*")
+    p = R.latest_version(prospects.select(*PROSPECT, "updated_at"), "prospect_id", ["updated_at"]).drop("updated_at")
     p = p.withColumn("parsed", N.parse_person_name(F.col("name_raw")))
     c = R.latest_version(
         contributions.select("source_record_id", "load_date", "donor_name_raw", "employer_raw", "occupation_raw", F.col("city").alias("c_city"), F.col("state").alias("c_state"), F.col("zip").alias("c_zip"), "amount", "donation_date", "committee_id"),
         "source_record_id",
         ["load_date"],
     )
-    c = c.withColumn("donor", N.parse_person_name(F.col("donor_name_raw"))).where("donor is not null").withColumn("block_key", F.col("donor.normalized"))
-    c = R.with_frequency(c, "block_key", "donor_name_count")
-    hits = R.block_join(c.select("source_record_id", "block_key"), "block_key", R.variant_index(p, "prospect_id", "name_raw", "alias_names"))
-    hits = R.best_variant(hits.select("source_record_id", "person_id", "variant_type"), "source_record_id").withColumnRenamed("person_id", "prospect_id")
-    j = hits.join(c, "source_record_id").join(p, "prospect_id")
+    # Names are parsed, counted and looked up once each, however many records bear them; the records join
+    # the few names that somebody in the index bears.
+    names = materialize(c.where("donor_name_raw is not null").groupBy("donor_name_raw").agg(F.count("*").alias("rows")).withColumn("donor", N.parse_person_name(F.col("donor_name_raw"))).where("donor is not null").withColumn("block_key", F.col("donor.normalized")), "names")
+    index = R.variant_index(p, "prospect_id", "name_raw", "alias_names")
+    hits = R.block_join(names.select("block_key").distinct(), "block_key", index).withColumnRenamed("person_id", "prospect_id")
+    hits = R.keep_best(hits, ["block_key", "prospect_id"], [N.variant_priority(F.col("variant_type")).desc(), F.col("variant_type")])
+    counts = names.groupBy("block_key").agg(F.sum("rows").alias("donor_name_count"))
+    named = names.drop("rows").join(hits.join(counts, "block_key"), "block_key")
+    j = named.join(c, "donor_name_raw").join(p, "prospect_id")
     companies = F.concat(F.array("company_raw"), F.coalesce("other_companies", F.array().cast("array<string>")))
     employer = F.coalesce(X.best_employer(companies, F.col("employer_raw"))["status"], F.lit("missing"))
     place = X.location_status(F.col("city"), F.col("state"), F.col("zip"), F.col("c_city"), F.col("c_state"), F.col("c_zip"))
@@ -63,11 +68,12 @@ def match_contributions(prospects: DataFrame, contributions: DataFrame) -> DataF
 def match_nonprofit(prospects: DataFrame, people: DataFrame) -> DataFrame:
     """Officers and donors of nonprofits by prospects: spelling, agreement of employer and organisation,
     of places, foundation names, filing history and name frequency."""
-    p = prospects.where("prospect_id is not null").groupBy("prospect_id").agg(F.max(F.struct(*PROSPECT[1:], "address")).alias("p")).select("prospect_id", "p.*")
+    p = R.latest_version(prospects.select(*PROSPECT, "updated_at"), "prospect_id", ["updated_at"]).drop("updated_at")
     n = people.where("person_name_normalized <> ''").select(
-        "nonprofit_id", F.col("person_name_normalized").alias("block_key"), "last_name", "title", "role", "amount", F.col("filing.ein").alias("ein"), F.col("filing.org_name").alias("org_name"),
+        "nonprofit_id", "loaded_at", F.col("person_name_normalized").alias("block_key"), "last_name", "title", "role", "amount", F.col("filing.ein").alias("ein"), F.col("filing.org_name").alias("org_name"),
         F.col("filing.tax_period_end").alias("period"), F.col("city").alias("n_city"), F.col("state").alias("n_state"), F.col("zip").alias("n_zip"),
-    ).dropDuplicates(["nonprofit_id"])
+    )
+    n = R.latest_version(n, "nonprofit_id", ["loaded_at"])
     n = R.with_frequency(n, "block_key", "name_count").join(R.distinct_periods(n, ["ein", "block_key"], "period", "n_periods"), ["ein", "block_key"], "left")
     hits = R.block_join(n.select("nonprofit_id", "block_key"), "block_key", R.variant_index(p, "prospect_id", "name_raw", "alias_names"))
     hits = R.best_variant(hits.select("nonprofit_id", "person_id", "variant_type"), "nonprofit_id").withColumnRenamed("person_id", "prospect_id")

@@ -145,12 +145,6 @@ def owner_split(spark, sf):
     return parts.select("owner", F.posexplode("p").alias("at", "part")).select("owner", (F.col("at") + 1).alias("at"), "part")
 
 
-@query()
-def owner_parse(spark, sf):
-    o = _owners(spark, sf).select("owner", F.explode(N.parse_owners(F.col("owner"))).alias("o"))
-    return o.select("owner", "o.extracted_from", "o.person.first_name", "o.person.last_name", "o.person.normalized")
-
-
 @query(
     rf"""with s as (select k, regexp_replace(coalesce(v, ''), '(?i)\s+AS\s+OF\s+\w+\s+\d{{4}}\s*$', '') as c from {_PEOPLE}),
 t as (select k, {S.ws('c')} as v from s),
@@ -287,14 +281,6 @@ def address_norm(spark, sf):
     return d.withColumn("n", X.normalize_address(F.col("address"))).select("address", "n.line1", "n.city", "n.state", "n.zip", "n.normalized_key")
 
 
-@query()
-def address_tier(spark, sf):
-    p = table(spark, sf, "prospect").where("trim(address) <> ''").select("prospect_id", F.col("address").alias("typed"), X.normalize_zip5(F.col("zip")).alias("z")).distinct()
-    a = table(spark, sf, "property_address").select("address_id", F.concat_ws(", ", "line1", "city", F.concat_ws(" ", "state", "zip")).alias("mailing"), X.normalize_zip5(F.col("zip")).alias("z")).distinct()
-    j = p.join(a, "z").select(X.address_tier(F.col("typed"), F.col("mailing"), F.lit(None).cast("string")).alias("status"))
-    return j.groupBy("status").agg(F.count("*").alias("n"))
-
-
 # titles, occupations, organisations
 
 

@@ -24,6 +24,14 @@ def _wide(line: Column, n: int) -> Column:
     return F.size(F.split(line, r"\|", -1)) >= n
 
 
+def prefilter(df: DataFrame, line: str) -> DataFrame:
+    """Lines that can be admitted, told from the raw text before any is split into columns: enough pipes,
+    a comma somewhere, then the three columns that are tested, each cut out by itself."""
+    part = lambda n: F.trim(F.split_part(F.col(line), F.lit("|"), F.lit(n)))
+    pipes = F.length(line) - F.length(F.replace(F.col(line), F.lit("|"), F.lit("")))
+    return df.where(F.contains(line, F.lit(","))).where(pipes >= 20).where(part(7).isin("", "IND")).where(F.contains(part(8), F.lit(","))).where(F.upper(part(19)) != "X")
+
+
 def scan_lines(df: DataFrame, line: str, ref: str) -> DataFrame:
     """Lines of individual contributions with at least 21 columns, by column."""
     return df.where(_wide(F.col(line), 21)).select(F.col(ref).alias("raw_ref"), *_fields(F.col(line), FEC_COLUMNS))
@@ -100,7 +108,9 @@ def linkages(df: DataFrame, line: str, at: str) -> DataFrame:
     return keep_best(rows, ["committee_id"], [F.asc("at")]).drop("at")
 
 
-SECTION_527 = "record form_id schedule_a_id org ein contributor address1 address2 city state zip zip_ext employer amount occupation ytd date".split()
+SECTION_527 = [
+    "record", "form_id", "schedule_a_id", "org", "ein", "contributor", "address1", "address2", "city", "state", "zip", "zip_ext", "employer", "amount", "occupation", "ytd", "date",
+]
 
 
 def section_527(df: DataFrame, line: str, ref: str) -> DataFrame:

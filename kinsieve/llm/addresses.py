@@ -143,7 +143,10 @@ def split_joined(forms: DataFrame) -> DataFrame:
                 own = frequent.get(w, 0)
                 cut = [(min(frequent[w[:i]], frequent[w[i:]]), i) for i in range(2, len(w) - 1) if w[:i] in frequent and w[i:] in frequent and len(w[:i]) > 2]
                 best = max(cut, default=(0, 0))
-                memo[w] = [w[: best[1]], w[best[1] :]] if best[0] > own else [w]
+                got = [w[: best[1]], w[best[1] :]] if best[0] > own else [w]
+                if len(memo) >= 300_000:
+                    return got
+                memo[w] = got
             return memo[w]
 
         for pdf in batches:
@@ -178,7 +181,10 @@ def correct(forms: DataFrame, frequent: set[str]) -> DataFrame:
                 return w
             if w not in memo:
                 near = {c for s in {w, *(w[:j] + w[j + 1 :] for j in range(len(w)))} for c in parts.get(s, ()) if typo_distance(w, c) <= 1}
-                memo[w] = near.pop() if len(near) == 1 else w
+                got = near.pop() if len(near) == 1 else w
+                if len(memo) >= 300_000:
+                    return got
+                memo[w] = got
             return memo[w]
 
         for pdf in batches:

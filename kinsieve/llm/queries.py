@@ -130,6 +130,12 @@ select capacity_id, cast(sum(greatest(ceil(coalesce(n_tokens, 0) / max_tokens),
 from documents, pack_capacity group by capacity_id""",
     "p9_found": _GRAMS + "select distinct doc_id, item_id from dg join ig using (g)",
     "p9_items": _GRAMS + "select item_id, count(distinct doc_id) as n_docs, min(doc_id) as first_doc from dg join ig using (g) group by item_id",
+    "p10_sentences": r"""
+with d as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\n]*(?:[.!?]+["'')\]]*|\n|$)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as u from documents where doc_id is not null),
+r as (select doc_id, s, array_to_string(u[s:s + 2], chr(1)) as g from (select doc_id, u, unnest(range(1, greatest(len(u) - 1, 1))) as s from d)),
+k as (select g, min(doc_id) as f from r group by g having min(doc_id) <> max(doc_id)),
+c as (select distinct doc_id, s + o as at from (select doc_id, s, unnest([0, 1, 2]) as o from r join k using (g) where doc_id <> f))
+select d.doc_id, cast(coalesce(len(u), 0) as integer) as n_units, cast(coalesce(n, 0) as integer) as removed_units from d left join (select doc_id, count(*) as n from c group by 1) using (doc_id)""",
     "p10_found": r"""
 with d as (select doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') as w from documents where text is not null),
 r as (select doc_id, s, array_to_string(w[s:s + 39], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 38, 1))) as s from d)),

@@ -105,6 +105,17 @@ def _unit_hashes(units: list[str], memo: dict[str, int]) -> np.ndarray:
     return np.array(out, dtype=np.uint64)
 
 
+HOT = 1000  # a hash that makes up more than 1 in HOT of all rows is hot: there are fewer than HOT of them
+
+
+def _join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
+    """rows joined to counted(keys, n, ...), where n is how many of the `total` rows have the keys. The hot
+    ones, fewer than HOT rows by their definition, are broadcast, so their rows stay where they are."""
+    hot = F.broadcast(counted.where(F.col("n") > total / HOT).drop("n"))
+    cold = counted.where(F.col("n") <= total / HOT).drop("n")
+    return rows.join(hot, keys, how).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys, how))
+
+
 def shared_runs(docs: DataFrame, doc_id: str, text: str, n: int, unit: str = "word") -> DataFrame:
     """(doc_id, start, first_doc): every run of n units that occurs in another document too, by the
     position of its first unit; first_doc is the least document id that holds the run."""
@@ -122,9 +133,9 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, n: int, unit: str = "wo
             yield pd.DataFrame({"d": np.concatenate(ds), "h": np.concatenate(hs)} if ds else {"d": np.zeros(0, np.int64), "h": np.zeros(0, np.int64)})
 
     marked = materialize(base.mapInPandas(marks, "d bigint, h bigint"), "anchors")
-    recurring = marked.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo <> hi").select("h")
+    recurring = marked.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("h", "n")
     # bounded by the anchors of one document
-    wanted = marked.join(recurring, "h", "left_semi").groupBy("d").agg(F.collect_set("h").alias("hs"))
+    wanted = _join_counted(marked, recurring, ["h"], marked.count(), "left_semi").groupBy("d").agg(F.collect_set("h").alias("hs"))
 
     def runs(batches):
         memo: dict[str, int] = {}
@@ -145,8 +156,8 @@ def shared_runs(docs: DataFrame, doc_id: str, text: str, n: int, unit: str = "wo
             yield pd.concat(out) if out else pd.DataFrame({"d": np.zeros(0, np.int64), "s": np.zeros(0, np.int32), "h": np.zeros(0, np.int64), "g": np.zeros(0, np.int64)})
 
     hashed = materialize(base.join(wanted, "d").mapInPandas(runs, "d bigint, s int, h bigint, g bigint"), "runs")
-    shared = hashed.groupBy("h", "g").agg(F.min("d").alias("first_doc"), F.max("d").alias("hi")).where("first_doc <> hi").select("h", "g", "first_doc")
-    return hashed.join(shared, ["h", "g"]).select(F.col("d").alias("doc_id"), F.col("s").alias("start"), "first_doc").distinct()
+    shared = hashed.groupBy("h", "g").agg(F.min("d").alias("first_doc"), F.max("d").alias("hi"), F.count("*").alias("n")).where("first_doc <> hi").select("h", "g", "first_doc", "n")
+    return _join_counted(hashed, shared, ["h", "g"], hashed.count(), "inner").select(F.col("d").alias("doc_id"), F.col("s").alias("start"), "first_doc").distinct()
 
 
 def stretches(runs: DataFrame, n: int) -> DataFrame:

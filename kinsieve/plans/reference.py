@@ -201,14 +201,14 @@ _LAST = "(select c.* from contribution c qualify row_number() over (partition by
 
 
 def _by_zip(spark, sf):
-    """Pairs of a prospect and a donor with one zip and last name: a small set of related records."""
-    p = table(spark, sf, "prospect").where("zip is not null and length(last_name) > 3").select("prospect_id", F.lower("last_name").alias("z"), F.substring("zip", 1, 5).alias("zip5"), "company_raw", "other_companies", F.col("city").alias("p_city"), F.col("state").alias("p_state"), F.col("zip").alias("p_zip")).dropDuplicates(["prospect_id", "zip5", "z", "company_raw", "p_city"])
-    c = table(spark, sf, "contribution").where("zip is not null").select("source_record_id", F.lower("last_name").alias("z"), F.substring("zip", 1, 5).alias("zip5"), "employer_raw", "city", "state", "zip", "occupation_raw").distinct()
+    """Pairs of a prospect and a donor with one surname and one zip, whatever its writing."""
+    p = table(spark, sf, "prospect").where("last_name is not null").select("prospect_id", F.lower("last_name").alias("z"), X.normalize_zip5(F.col("zip")).alias("zip5"), "company_raw", "other_companies", F.col("city").alias("p_city"), F.col("state").alias("p_state"), F.col("zip").alias("p_zip")).distinct()
+    c = table(spark, sf, "contribution").where("last_name is not null").select("source_record_id", F.lower("last_name").alias("z"), X.normalize_zip5(F.col("zip")).alias("zip5"), "employer_raw", "city", "state", "zip", "occupation_raw").distinct()
     return p.join(c, ["zip5", "z"])
 
 
-_BY_ZIP = """(select * from (select distinct prospect_id, lower(last_name) as z, left(zip, 5) as zip5, company_raw, other_companies, city as p_city, state as p_state, zip as p_zip from prospect where zip is not null and length(last_name) > 3)
-  join (select distinct source_record_id, lower(last_name) as z, left(zip, 5) as zip5, employer_raw, city, state, zip, occupation_raw from contribution where zip is not null) using (zip5, z))"""
+_BY_ZIP = f"""(select * from (select distinct prospect_id, lower(last_name) as z, {S.zip5('zip')} as zip5, company_raw, other_companies, city as p_city, state as p_state, zip as p_zip from prospect where last_name is not null)
+  join (select distinct source_record_id, lower(last_name) as z, {S.zip5('zip')} as zip5, employer_raw, city, state, zip, occupation_raw from contribution where last_name is not null) using (zip5, z))"""
 
 
 @query(f"select status, count(*) as n from (select {_STATUS} as status from (select {S.legal_stripped('company_raw')} as p, {S.legal_stripped('employer_raw')} as d from {_BY_ZIP})) group by 1")
@@ -405,10 +405,11 @@ def fec_pushdown(spark, sf):
 # joins
 
 
-@query("select c.snapshot_no, c.source_record_id from (select distinct snapshot_no, source_record_id from contribution_snapshot where snapshot_no = 2) c where not exists (select 1 from contribution_snapshot p where p.snapshot_no = 1 and p.source_record_id = c.source_record_id)")
+@query("select c.snapshot_no, c.source_record_id from (select distinct snapshot_no, source_record_id from contribution_snapshot where snapshot_no > 1) c where not exists (select 1 from contribution_snapshot p where p.snapshot_no = c.snapshot_no - 1 and p.source_record_id = c.source_record_id)")
 def fec_diff_anti(spark, sf):
-    s = table(spark, sf, "contribution_snapshot").select("snapshot_no", "source_record_id")
-    return R.new_rows(s.where("snapshot_no = 2").distinct(), s.where("snapshot_no = 1"), "source_record_id")
+    s = table(spark, sf, "contribution_snapshot").select("snapshot_no", "source_record_id", F.concat_ws("#", F.col("snapshot_no").cast("string"), "source_record_id").alias("key"))
+    before = s.select(F.concat_ws("#", (F.col("snapshot_no") + 1).cast("string"), "source_record_id").alias("key"))
+    return R.new_rows(s.where("snapshot_no > 1").distinct(), before, "key").select("snapshot_no", "source_record_id")
 
 
 @query("select source_record_id, count(*) as n from contribution where last_name in (select last_name from prospect) group by 1")

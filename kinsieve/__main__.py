@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from kinsieve.plans import pipelines
-from kinsieve.session import local_session
+from kinsieve.session import discard_all, local_session
 from kinsieve.sources import edgar, fec, json_records, prospects, sinks, tax_returns
 
 
@@ -68,6 +68,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session()
     out, summary = COMMANDS[args.command](spark, args)
     sinks.write_csv(out, f"{args.output}/rows", {c: c for c in out.columns})
+    discard_all(spark)
     counts = {k: int(v) for k, v in summary.items() if k.endswith("rows")}
     print(sinks.report(args.command, counts, {}))
     return 0

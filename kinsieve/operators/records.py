@@ -88,17 +88,23 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def upper_median(df: DataFrame, value: str, buckets: int = 10_000) -> DataFrame:
-    """(median, n_values): the element at n/2, counted from 0, of the sorted numbers, exactly. Counts per
-    bucket of the range tell which bucket holds it; only that bucket's values are put in order."""
-    v = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
-    placed = v.join(F.broadcast(ends)).withColumn("b", F.floor(F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets).otherwise(0.0)))
-    counts = placed.groupBy("b").agg(F.count("*").alias("n"), F.first("total").alias("total"))
-    held = counts.withColumn("upto", F.sum("n").over(W.orderBy("b"))).where((F.col("upto") > F.floor(F.col("total") / 2)) & (F.col("upto") - F.col("n") <= F.floor(F.col("total") / 2)))
-    inside = placed.drop("total").join(F.broadcast(held.select("b", "total", (F.col("upto") - F.col("n")).alias("before"))), "b").groupBy("v", "total", "before").agg(F.count("*").alias("n"))
-    run = inside.withColumn("upto", F.col("before") + F.sum("n").over(W.orderBy("v"))).where(F.col("upto") > F.floor(F.col("total") / 2))
-    return run.agg(F.min("v").alias("median"), F.max("total").alias("n_values"))
+def upper_median(df: DataFrame, value: str, buckets: int = 4096) -> DataFrame:
+    """(median, n_values): the element at n/2, counted from 0, of the sorted numbers, exactly; null and 0
+    where there is none. Counts per bucket of the range tell which bucket holds it, and its range is cut
+    again until it is one value. The driver sees counts of at most `buckets` rows a round."""
+    spark = df.sparkSession
+    v = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    lo, hi, total = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    before, at = 0, total // 2
+    while total and lo < hi:
+        bucket = F.least(F.floor((F.col("v") - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
+        counts = v.where(F.col("v").between(lo, hi)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        for r in sorted(counts.collect()):
+            if before + r.n > at:
+                lo, hi = r.lo, r.hi
+                break
+            before += r.n
+    return spark.createDataFrame([(lo, total)], "median double, n_values bigint")
 
 
 def grants_of_matched(matches: DataFrame, grants: DataFrame, ein: str, person: str, order: list[Column]) -> DataFrame:

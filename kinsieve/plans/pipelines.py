@@ -21,6 +21,12 @@ PROPERTY_CHANGES = {
 }
 
 
+def _latest(df: DataFrame, columns: list[str], key: str, version: str) -> DataFrame:
+    """The columns of each key's latest version; a list without versions has one row per key."""
+    own = [version] if version in df.columns else []
+    return R.latest_version(df.select(*columns, *own), key, own).select(*columns)
+
+
 def match_contributions(prospects: DataFrame, contributions: DataFrame) -> DataFrame:
     """Contributions by the prospects they may be of, a row per pair with the nearest spelling and what
     speaks for it: names, employer, place, occupation, and how many such signals there are.
@@ -28,7 +34,7 @@ def match_contributions(prospects: DataFrame, contributions: DataFrame) -> DataF
     Both sides are folded to one row per key first. A popular name is one row until the very last join,
     and names are counted by aggregates.
     """
-    p = R.latest_version(prospects.select(*PROSPECT, "updated_at"), "prospect_id", ["updated_at"]).drop("updated_at")
+    p = _latest(prospects, PROSPECT, "prospect_id", "updated_at")
     p = p.withColumn("parsed", N.parse_person_name(F.col("name_raw")))
     c = R.latest_version(
         contributions.select("source_record_id", "load_date", "donor_name_raw", "employer_raw", "occupation_raw", F.col("city").alias("c_city"), F.col("state").alias("c_state"), F.col("zip").alias("c_zip"), "amount", "donation_date", "committee_id"),
@@ -68,9 +74,10 @@ def match_contributions(prospects: DataFrame, contributions: DataFrame) -> DataF
 def match_nonprofit(prospects: DataFrame, people: DataFrame) -> DataFrame:
     """Officers and donors of nonprofits by prospects: spelling, agreement of employer and organisation,
     of places, foundation names, filing history and name frequency."""
-    p = R.latest_version(prospects.select(*PROSPECT, "updated_at"), "prospect_id", ["updated_at"]).drop("updated_at")
+    p = _latest(prospects, PROSPECT, "prospect_id", "updated_at")
+    loaded = F.col("loaded_at") if "loaded_at" in people.columns else F.lit(0)
     n = people.where("person_name_normalized <> ''").select(
-        "nonprofit_id", "loaded_at", F.col("person_name_normalized").alias("block_key"), "last_name", "title", "role", "amount", F.col("filing.ein").alias("ein"), F.col("filing.org_name").alias("org_name"),
+        "nonprofit_id", loaded.alias("loaded_at"), F.col("person_name_normalized").alias("block_key"), "last_name", "title", "role", "amount", F.col("filing.ein").alias("ein"), F.col("filing.org_name").alias("org_name"),
         F.col("filing.tax_period_end").alias("period"), F.col("city").alias("n_city"), F.col("state").alias("n_state"), F.col("zip").alias("n_zip"),
     )
     n = R.latest_version(n, "nonprofit_id", ["loaded_at"])

@@ -535,10 +535,11 @@ def portfolio_count(spark, sf):
     return table(spark, sf, "nonprofit_match").where("prospect_id is not null").groupBy("prospect_id").agg(F.count("*").alias("n_matches"), F.max("match_confidence").alias("best_confidence"))
 
 
-@query("select org_ein, count(distinct prospect_id) as n_prospects, max(match_confidence) as best, array_to_string(list_sort(list(distinct prospect_id)), ';') as prospects from nonprofit_match where org_ein is not null and prospect_id is not null group by 1")
+@query("with d as (select org_ein, prospect_id, max(match_confidence) as best from nonprofit_match where org_ein is not null and prospect_id is not null group by all) select org_ein, prospect_id, best, n_prospects from d join (select org_ein, count(*) as n_prospects from d group by 1) using (org_ein)")
 def foundation_prospects(spark, sf):
-    m = table(spark, sf, "nonprofit_match").where("org_ein is not null and prospect_id is not null").groupBy("org_ein")
-    return m.agg(F.countDistinct("prospect_id").alias("n_prospects"), F.max("match_confidence").alias("best"), F.array_join(F.array_sort(F.collect_set("prospect_id")), ";").alias("prospects"))
+    """Membership, a row per foundation and prospect, with how many each foundation has."""
+    m = table(spark, sf, "nonprofit_match").where("org_ein is not null and prospect_id is not null").groupBy("org_ein", "prospect_id").agg(F.max("match_confidence").alias("best"))
+    return R.with_frequency(m, "org_ein", "n_prospects")
 
 
 # set operations

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# tables written to the shared folder and not yet discarded
+_WRITTEN: list[str] = []
+
+
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -33,13 +37,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one of our own only where
-    the setting is missing: below the warehouse, or below /tmp where the master is local."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only under a local master is there
+    one of our own, below /tmp; a cluster without the setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = "file:///tmp" if local else spark.conf.get("spark.sql.warehouse.dir")
-        folder = f"{base}/kinsieve-shared"
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file:///tmp/kinsieve-shared"
     return folder.rstrip("/")
 
 
@@ -48,19 +53,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     once, and they outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kinsieve_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialized table that nothing reads any more."""
     path = getattr(df, "_kinsieve_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(df.sparkSession, path)
+        if path in _WRITTEN:
+            _WRITTEN.remove(path)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete every table that this driver materialized and did not discard, once the results that read
+    them are written. How many there were."""
+    gone = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    return gone
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -34,10 +34,19 @@ def read_prospects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     Rows without an id get prospect-<row number>, counted over all rows."""
     raw = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False)
     columns = resolve_headers(raw.columns)
-    # a list is one file of people, read as one split, so ids made before any shuffle count its rows
-    at = F.monotonically_increasing_id() + 1
+    # Row numbers over all splits of the file: how many rows the splits before it hold (a row per split,
+    # as many as the file has blocks), and the row's place within its own.
+    numbered = raw.select("*", F.monotonically_increasing_id().alias("_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    splits = numbered.groupBy("_file", "_start").agg(F.min("_id").alias("first"), F.count("*").alias("n")).collect()
+    offset, upto = {}, 0
+    for r in sorted(splits):
+        offset[r._file, r._start], upto = upto - r.first, upto + r.n
+    shift = F.lit(0).cast("bigint")
+    for (file, start), by in offset.items():
+        shift = F.when((F.col("_file") == file) & (F.col("_start") == start), F.lit(by)).otherwise(shift)
+    at = F.col("_id") + shift + 1
     text = {c: F.coalesce(F.trim(F.col(f"`{columns[c]}`")), F.lit("")) if c in columns else F.lit("") for c in PROSPECT_HEADERS}
-    rows = raw.coalesce(1).select(at.alias("row"), *[e.alias(c) for c, e in text.items()]).withColumn("person", parse_person_name(F.col("name")))
+    rows = numbered.select(at.alias("row"), *[e.alias(c) for c, e in text.items()]).withColumn("person", parse_person_name(F.col("name")))
 
     def listed(c: str):
         return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,17 @@ def write_csv(df: DataFrame, path: str, columns: dict[str, str], files: int | No
 
 
 def write_manifest(path: str, counts: dict[str, int], freshness: dict[str, str], outputs: dict[str, str]) -> None:
-    """What a run read, how fresh its sources were, and what it wrote."""
+    """What a run read, how fresh its sources were, and what it wrote, on whatever file system the path
+    names."""
     degraded = sorted(k for k, v in freshness.items() if v != "ok")
-    with open(path, "w", encoding="utf8") as f:
-        json.dump({"counts": counts, "freshness": freshness, "degraded": degraded, "outputs": outputs}, f, indent=2, sort_keys=True)
+    text = json.dumps({"counts": counts, "freshness": freshness, "degraded": degraded, "outputs": outputs}, indent=2, sort_keys=True)
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text, "utf8"))
+    finally:
+        out.close()
 
 
 def report(title: str, counts: dict[str, int], freshness: dict[str, str]) -> str:

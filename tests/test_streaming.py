@@ -44,3 +44,12 @@ def test_change_feed_equals_batch(spark, frame, tmp_path):
     feed()
     got = {(r.id, r.change_type) for r in spark.read.parquet(str(tmp_path / "out")).where("batch = 1").collect()}
     assert got == {(r.id, r.change_type) for r in classify_changes(two, one, "id", groups).collect()} == {("1", "sale_update"), ("3", "new_to_cache")}
+    # a state that is gone is an error, not an empty one
+    import shutil
+
+    import pytest
+
+    shutil.rmtree(tmp_path / "state" / "manifest" / "1")
+    two.coalesce(1).write.mode("append").parquet(str(src))
+    with pytest.raises(Exception, match="is missing"):
+        feed()

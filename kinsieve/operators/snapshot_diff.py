@@ -40,7 +40,8 @@ def snapshot_diff(df: DataFrame, key: str, snapshot: str, fields: Mapping[str, C
     # Copies and outdated versions fold together before the shuffle, so a key with very many rows stays small.
     latest = rows.groupBy("k", "s").agg(F.max(F.struct("v", "r")).getField("r").alias("r"))
     # As many rows as there were deliveries: a bound that does not follow the number of records.
-    order = rows.select("s").distinct().select("s", F.lead("s").over(W.orderBy("s")).alias("following"))
+    places = W.orderBy("s")
+    order = rows.select("s").distinct().select("s", F.lead("s").over(places).alias("following"), F.lag("s").over(places).isNull().alias("opening"))
     ends = latest.join(F.broadcast(order), "s").repartition("k")
     # One exchange on the key serves both aggregations below.
     sides = ends.select(
@@ -49,7 +50,8 @@ def snapshot_diff(df: DataFrame, key: str, snapshot: str, fields: Mapping[str, C
         F.explode(
             F.array_compact(
                 F.array(
-                    F.struct(F.col("s").alias("no"), F.lit(1).alias("sign")),
+                    # the first delivery is compared with none
+                    F.when(~F.col("opening"), F.struct(F.col("s").alias("no"), F.lit(1).alias("sign"))),
                     F.when(F.col("following").isNotNull(), F.struct(F.col("following").alias("no"), F.lit(-1).alias("sign"))),
                 )
             )
@@ -65,12 +67,10 @@ def snapshot_diff(df: DataFrame, key: str, snapshot: str, fields: Mapping[str, C
         .agg(F.sum("sign").alias("n"))
         .where("n <> 0")
     )
-    first = rows.agg(F.min("s").alias("first"))
     present = F.coalesce(F.max(F.when(F.col("field") == _PRESENT, F.col("n"))), F.lit(0))
     return (
         sums.groupBy("k", "no")
         .agg(present.alias("p"), F.array_sort(F.collect_set(F.when(F.col("field") != _PRESENT, F.col("field")))).alias("changed"))
-        .join(F.broadcast(first), F.col("no") > F.col("first"))
         .select(
             F.col("k").alias("record_key"),
             F.col("no").alias("snapshot_no"),

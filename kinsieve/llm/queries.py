@@ -11,7 +11,7 @@ from kinsieve.llm.leakage import find_leaks
 from kinsieve.llm.packing import pack
 from kinsieve.llm.persons import given_names, linked_sources, person_clusters, read_people, variant_pairs
 from kinsieve.llm.spans import drop_repeated, shared_runs, stretches
-from kinsieve.llm.truth import FILLERS, _FILLER_SET, truth_discovery
+from kinsieve.llm.truth import FILLERS, truth_discovery
 from kinsieve.session import table
 
 SURVIVING_FIELDS = ["irs_person_address", "person_city_state", "title", "org_ein", "amount", "tax_period"]
@@ -109,7 +109,7 @@ t{n + 1} as (select source, 0.5 + 0.5 * (round(sum(case when v.value = w{n}.valu
     return out + f" select fp as record_fingerprint, field_name, raw as value, round(support, 3) as support from w{rounds - 1}"
 
 
-_FILLER_SQL = ", ".join(f"'{w}'" for w in _FILLER_SET)
+_FILLER_SQL = ", ".join(f"'{w}'" for w in FILLERS)
 _GRAMS = r"""
 with d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_item),

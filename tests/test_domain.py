@@ -41,3 +41,20 @@ def test_address_tiers_are_counted_without_pairs(spark):
     side = spark.range(60_000).select(F.lit("40202").alias("z"), F.when(F.col("id") < 20_000, F.col("id").cast("string")).alias("a"), F.lit("KY").alias("b"))
     got = {r.tier: r.n for r in records.count_tiers(side, side, "z", {"a": ["a"], "b": ["b"]}, "none").collect()}
     assert got == {"a": 20_000, "b": 60_000**2 - 20_000}
+
+
+def test_location_support_of_odd_rows(frame, same_as_sql):
+    rng = random.Random(5)
+    places = lambda: (rng.choice([None, "", "1 Main St.", "2 B"]), rng.choice([None, "", "Austin", "RENO "]), rng.choice([None, "", "TX", "texas", "NV"]), rng.choice([None, "78701", "78701-2", "1"]))
+    # one prospect with two spellings of a name is two rows
+    prospects = [("P0", name, "1 Main St", "Austin", "TX", "78701") for name in ("Orr", "ORR")] + [(f"P{i % 40}", rng.choice(["Orr", "orr", "Lee", "", None]), *places()) for i in range(90)]
+    filed = [(i, rng.choice(["ORR", "Lee", "", None]), *places(), rng.choice([None, ("Austin", "TX"), ("Reno", ""), (None, "NV")])) for i in range(90)]
+    schema = "nonprofit_id long, last_name string, street string, city string, state string, zip string, filing struct<org_city string, org_state string>"
+    assert same_as_sql("location_support", prospect=frame(PROSPECT, *prospects), nonprofit_record=frame(schema, *filed))
+
+
+def test_pairs_of_one_key_are_spread(spark):
+    side = lambda n, c: spark.range(n).select((F.col("id") % 10 > 0).alias("k"), F.col("id").alias(c))
+    got = records.spread_join(side(300, "a"), side(200, "b"), "k", cell=40)
+    by = Counter(r.p for r in got.where("k").select(F.spark_partition_id().alias("p")).collect())
+    assert got.count() == got.distinct().count() == 270 * 180 + 30 * 20 and len(by) == 4 and max(by.values()) < 0.6 * 270 * 180

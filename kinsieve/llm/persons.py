@@ -14,10 +14,9 @@
 6. Clusters of different blocks that share a node, or a surname and an employer or organisation and
    evidence enough, are one.
 
-Hot blocks: one of more than `SPLIT` nodes is split over tasks, field by field, until it is not: by the
-beginning and the end of the surname (a node stands in both, as typing errors spare one of them), the
-formal given name, middle initial and suffix, zip, employer, street. Each part is clustered by the same
-rules, parts meet again in step 6. No evidence is ever left out, at any size.
+Hot blocks: the pairs of a block of more than `SPLIT` nodes are dealt to several tasks, which find what
+hangs together through evidence that could count; each such part is then clustered by the same rules as a
+whole block. The clusters are those of the undivided block, at any size and any `SPLIT`.
 
 Defined cases: null, blank and filler names take no part; a record without any place is compared only
 with others without; ties go by node id; repeated rows count once; an empty table gives no rows.
@@ -39,7 +38,7 @@ from kinsieve.llm.belief import match_probabilities
 from kinsieve.llm.canonical import LEGAL, EmployerReader
 from kinsieve.llm.edit import levenshtein, masks, typo_distance
 from kinsieve.llm.groups import UnionFind, by_group
-from kinsieve.llm.names import BASES, UNSURE, GivenNames, bases, letters, read_name
+from kinsieve.llm.names import UNSURE, GivenNames, bases, letters, read_name
 from kinsieve.llm.places import city_key, read_address, zip5
 from kinsieve.session import discard, materialize
 
@@ -50,6 +49,7 @@ _SAY_NOTHING = set("retired retiredd self employed selfemployed none na unemploy
 _NO_TRADE = ["reti", "home", "stud", "unem", "none", "n/a", "unkn", "self", "requ", "info"]
 LEAST = 0.4  # cosine of two whole names that are compared
 LEAST_SURNAME = 0.4  # the same of surnames, where a given name is an initial or has several readings
+AHEAD = 0.5  # by how much initials and the like agree better with one cluster than with any other
 SPLIT = 5000  # nodes of a block in one task
 MISSING = -6.0  # evidence of a pair that the cosine join left out, or that contradict each other
 
@@ -229,7 +229,7 @@ def similar_names(names: list[str], vectors: Vectors, least: float = LEAST, post
         for i in met:
             other = own[i]
             both = keys & other.keys()
-            c = sum([vector[g] * other[g] for g in both])
+            c = math.fsum([vector[g] * other[g] for g in both])  # in any order
             if c >= least:
                 out[i, j] = c
         if j < most:
@@ -460,12 +460,9 @@ def _grouped(members: list[int], pairs: dict[tuple[int, int], float]) -> list[li
     return out
 
 
-def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST) -> tuple[list[int], list[float]]:
-    """For the nodes of a block the number of their cluster (its first member) and how strongly they
-    belong to it: infinite, but for initials and the like."""
-    n = len(nodes)
-    if n == 1:
-        return [0], [math.inf if nodes[0].sure else 0.0]
+def evidence_pairs(nodes: list[Evidence], vectors: Vectors, least: float = LEAST, chunks: list[int] | None = None) -> Iterator[tuple[int, int, float]]:
+    """(i, j, evidence), i < j, of the nodes whose names the cosine join brings together. With `chunks`, only
+    pairs of nodes of two chunks."""
     # whole names where both given names are sure, and one formal name; surnames otherwise
     whole: dict[object, dict[str, list[int]]] = {}
     short: dict[str, tuple[list[int], list[int]]] = {}
@@ -487,9 +484,6 @@ def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST)
         for (p, q), c in similar_names(names, vectors, max(least, LEAST_SURNAME), loose_names).items():
             (xs, us), (ys, vs) = short[names[p]], short[names[q]]
             near += [(us, vs, c), (us, ys, c), (xs, vs, c)]
-    firm: dict[tuple[int, int], float] = {}
-    loose: dict[tuple[int, int], float] = {}
-    mixed: dict[int, dict[int, float]] = {}
     for xs, ys, c in near:
         if not xs or not ys:
             continue
@@ -498,18 +492,41 @@ def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST)
             continue
         for i in xs:
             for j in ys:
-                if i < j or xs is not ys:
+                if (i < j or xs is not ys) and (chunks is None or chunks[i] != chunks[j]):
                     a, b = (i, j) if i < j else (j, i)
                     s = score(nodes[a], nodes[b], less)
-                    if s is None:
-                        s = MISSING
-                    if nodes[a].sure and nodes[b].sure:
-                        firm[a, b] = s
-                    elif not (nodes[a].sure or nodes[b].sure):
-                        loose[a, b] = s
-                    else:
-                        k, m = (b, a) if nodes[a].sure else (a, b)
-                        mixed.setdefault(k, {})[m] = s
+                    yield a, b, MISSING if s is None else s
+
+
+def hanging_together(nodes: list[Evidence], vectors: Vectors, least: float = LEAST, chunks: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (i, first of its part) of the nodes that no cluster can be decided without: positive evidence, and
+    between a node that is sure and one that is not all that could be the second best and keep it away."""
+    uf = UnionFind(len(nodes))
+    for a, b, s in evidence_pairs(nodes, vectors, least, chunks):
+        if s > (0.0 if nodes[a].sure == nodes[b].sure else -AHEAD):
+            uf.join(a, b)
+    for i in range(len(nodes)):
+        if uf.find(i) != i:
+            yield i, uf.find(i)
+
+
+def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST) -> tuple[list[int], list[float]]:
+    """For the nodes of a block the number of their cluster (its first member) and how strongly they
+    belong to it: infinite, but for initials and the like."""
+    n = len(nodes)
+    if n == 1:
+        return [0], [math.inf if nodes[0].sure else 0.0]
+    firm: dict[tuple[int, int], float] = {}
+    loose: dict[tuple[int, int], float] = {}
+    mixed: dict[int, dict[int, float]] = {}
+    for a, b, s in evidence_pairs(nodes, vectors, least):
+        if nodes[a].sure and nodes[b].sure:
+            firm[a, b] = s
+        elif not (nodes[a].sure or nodes[b].sure):
+            loose[a, b] = s
+        else:
+            k, m = (b, a) if nodes[a].sure else (a, b)
+            mixed.setdefault(k, {})[m] = s
     done = _grouped([i for i, e in enumerate(nodes) if e.sure], firm)
     strength = [math.inf if e.sure else 0.0 for e in nodes]
     home = {i: k for k, members in enumerate(done) for i in members}
@@ -522,7 +539,7 @@ def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST)
             got = [mixed.get(i, {}).get(m, MISSING) for i in group for m in done[k]]
             found.append((sum(got) / len(got), k))
         found.sort(reverse=True)
-        if found and found[0][0] > 0 and (len(found) == 1 or found[0][0] > found[1][0] + 0.5):
+        if found and found[0][0] > 0 and (len(found) == 1 or found[0][0] > found[1][0] + AHEAD):
             attached.append((found[0][1], group))
             for i in group:
                 strength[i] = found[0][0]
@@ -554,7 +571,7 @@ def _mean(xs: list[Evidence], ys: list[Evidence], vectors: Vectors) -> float:
 
 def _cosine(p: str, q: str, vectors: Vectors) -> float:
     own = vectors.of(p)
-    return sum([x * own[g] for g, x in vectors.of(q).items() if g in own])
+    return math.fsum([x * own[g] for g, x in vectors.of(q).items() if g in own])
 
 
 def _link_clusters(key: tuple, rows: list[tuple], vectors: Vectors) -> Iterator[tuple]:
@@ -626,27 +643,40 @@ def across_places(nodes: DataFrame, clusters: DataFrame, vectors) -> tuple[DataF
     return heads, links.where("row = 'e'").select("a", "b", "total", "n").distinct()
 
 
-def blocks(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
-    """nodes with `block`, a row for each block that a node stands in; none has more than `split` nodes
-    that differ in any field by which blocks are split."""
-    base = F.regexp_replace("first", UNSURE, "")
-    ends = F.when(F.col("kind") == "o", F.array("sur")).otherwise(F.array(F.concat(F.lit("^"), F.substring("sur", 1, 2)), F.concat(F.lit("$"), F.substring("sur", -2, 2))))
-    once = [F.array(F.concat_ws(":", F.substring("middle", 1, 1), "suffix")), F.array("zip"), F.array(F.get(F.split("emps", " "), F.lit(0))), F.array(F.concat_ws(":", "street", "occ", "org")), F.array("sur")]
-    kinds = formal_names()
-    out = nodes.select("*", F.explode(F.filter(F.split("letters", ""), lambda x: x != "")).alias("letter")).select("*", F.xxhash64("loc", "kind", "letter").alias("block")).drop("letter")
-    for by in [ends, F.coalesce(F.try_element_at(kinds, base), F.array(base)), *once]:
-        hot = out.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > split).select("block")
-        if hot.isEmpty():
-            break
-        hot = materialize(hot, "hot")
-        parts = out.join(hot, "block").select("*", F.explode(F.array_distinct(by)).alias("part")).withColumn("block", F.xxhash64("block", "part")).drop("part")
-        out = out.join(hot, "block", "left_anti").unionByName(parts)
-    return out
+def _dealt(df: DataFrame, blocks: DataFrame, item: str, mine: Column, other: Column) -> DataFrame:
+    """df(block, item, ...) by `chunk` of its items, a row for each chunk (`with`) that a task compares it with.
+    mine, other: into how many chunks a row and those it is compared with go, by columns of blocks."""
+    return df.join(blocks, "block").withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), item), mine).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), other - 1)))
+
 
+def _chunks(n: str, split: int) -> Column:
+    """Two chunks are about `split` items."""
+    return F.greatest(F.ceil(F.col(n) * 2 / split), F.lit(1)).cast("int")
 
-def formal_names() -> Column:
-    """The formal names of each short one, as a literal map: a fixed table."""
-    return F.expr("map(" + ", ".join(f"'{n}', array({', '.join(repr(b) for b in sorted(own))})" for n, own in sorted(BASES.items())) + ")")
+
+def blocks(nodes: DataFrame, vectors, split: int = SPLIT, least: float = LEAST, side: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
+    """(whole, parts): nodes with `block`, a row for each block that a node stands in. Blocks of more than
+    `split` nodes, if any, are in `parts`, with `part` for what hangs together in them (and is of one `side`)."""
+    out = nodes.select("*", F.explode(F.filter(F.split("letters", ""), lambda x: x != "")).alias("letter")).select("*", F.xxhash64("loc", "kind", "letter").alias("block")).drop("letter")
+    hot = out.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > split)
+    if hot.isEmpty():
+        return out, None
+    hot = materialize(hot, "hot")
+    inside = materialize(out.join(hot.select("block"), "block").withColumn("vertex", F.xxhash64("block", "node")), "inside")
+    rows = _dealt(inside, hot.select("block", _chunks("n", split).alias("k")), "node", F.col("k"), F.col("k"))
+    rows = rows.select(*side, "block", F.least("chunk", "with").alias("p"), F.greatest("chunk", "with").alias("q"), "node", "vertex", "chunk", *FIELDS)
+    at = len(side) + 3
+
+    def join(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        rows.sort(key=lambda r: r[at])
+        ev = [Evidence(*r[at + 3 :]) for r in rows]
+        for i, j in hanging_together(ev, vectors.value, least, None if key[-2] == key[-1] else [r[at + 2] for r in rows]):
+            yield rows[i][at + 1], rows[j][at + 1]
+
+    links = materialize(by_group(rows, [*side, "block", "p", "q"], join, "a bigint, b bigint"), "links")
+    roots = components(links).select(F.col("a").alias("vertex"), "root")
+    parts = inside.join(roots, "vertex", "left").withColumn("part", F.coalesce("root", "vertex")).drop("vertex", "root")
+    return out.join(hot, "block", "left_anti"), materialize(parts, "parts")
 
 
 def _nodes(people: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, object]:
@@ -677,12 +707,17 @@ def person_clusters(people: DataFrame, split: int = SPLIT, least: float = LEAST)
     located, nodes, vectors = _nodes(people, NODE)
 
     def resolve(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        rows.sort(key=lambda r: r[1])
-        labels, strength = cluster_block([Evidence(*r[2:]) for r in rows], vectors.value, least)
+        rows.sort(key=lambda r: r[2])
+        labels, strength = cluster_block([Evidence(*r[3:]) for r in rows], vectors.value, least)
         for r, c, s in zip(rows, labels, strength):
-            yield r[1], rows[c][1], s
-
-    found = materialize(by_group(blocks(nodes, split).select("block", "node", *FIELDS), ["block"], resolve, "node bigint, cluster bigint, strength double"), "found")
+            yield r[2], rows[c][2], s
+
+    whole, parts = blocks(nodes, vectors, split, least)
+    grouped = whole.withColumn("part", F.col("block"))
+    if parts is not None:
+        grouped = grouped.unionByName(parts)
+    grouped = grouped.select("block", "part", "node", *FIELDS)
+    found = materialize(by_group(grouped, ["block", "part"], resolve, "node bigint, cluster bigint, strength double"), "found")
     clusters, links = settle(found)
     clusters = with_heads(clusters, "cluster", components(links).select(F.col("a").alias("cluster"), F.col("root").alias("head")))
     clusters = materialize(clusters, "clusters")
@@ -714,19 +749,37 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
     people = materialize(people.where("kind = 'p'"), "read")
     located, nodes, vectors = _nodes(people, ["side", *NODE])
 
+    def clustered(own: list[tuple]) -> Iterator[tuple]:
+        """(node, cluster, strength) of the rows of one side."""
+        labels, strength = cluster_block([Evidence(*r[3:]) for r in own], vectors.value)
+        for r, c, s in zip(own, labels, strength):
+            yield r[1], own[c][1], s
+
     def resolve(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: r[1])
-        parts: dict[str, list[tuple[int, list[Evidence]]]] = {}
+        cluster = {}
         for side in ("l", "r"):
             own = [r for r in rows if r[2] == side]
-            ev = [Evidence(*r[3:]) for r in own]
-            groups: dict[int, list[int]] = {}
-            if own:
-                labels, strength = cluster_block(ev, vectors.value)
-                for i, (c, s) in enumerate(zip(labels, strength)):
-                    groups.setdefault(c, []).append(i)
-                    yield "m", own[i][1], own[c][1], 0, s, 0
-            parts[side] = [(own[c][1], [ev[i] for i in members]) for c, members in groups.items()]
+            for node, c, s in clustered(own) if own else ():
+                cluster[node] = c
+                yield "m", node, c, 0, s, 0
+        yield from candidates([(cluster[r[1]], *r[1:]) for r in rows])
+
+    def resolve_part(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        # rows(block, node, side, FIELDS..., part)
+        rows.sort(key=lambda r: r[1])
+        for node, c, s in clustered([r[:-1] for r in rows]):
+            yield key[0], node, c, s
+
+    def candidates(rows: list[tuple]) -> Iterator[tuple]:
+        """Evidence between the clusters of both sides, for rows(cluster, node, side, FIELDS...) by node."""
+        parts: dict[str, list[tuple[int, list[Evidence]]]] = {}
+        for side in ("l", "r"):
+            groups: dict[int, list[Evidence]] = {}
+            for r in rows:
+                if r[2] == side:
+                    groups.setdefault(r[0], []).append(Evidence(*r[3:]))
+            parts[side] = list(groups.items())
         if not parts["l"] or not parts["r"]:
             return
         # candidates: clusters with names that the cosine join brings together; two given names that are
@@ -762,7 +815,22 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
                 yield "e", 0, lc, rc, mean * size, size
 
     schema = "row string, node bigint, cluster bigint, other bigint, total double, n bigint"
-    got = materialize(by_group(blocks(nodes, split).select("block", "node", "side", *FIELDS), ["block"], resolve, schema), "candidates")
+    columns = ["block", "node", "side", *FIELDS]
+    whole, parts = blocks(nodes, vectors, split, side=("side",))
+    got = by_group(whole.select(columns), ["block"], resolve, schema)
+    if parts is not None:
+        # hot blocks: clusters part by part, then whole clusters of either side are dealt to tasks
+        settled = materialize(by_group(parts.select(*columns, "part"), ["block", "part"], resolve_part, "block bigint, node bigint, cluster bigint, strength double"), "settled")
+        inside = settled.join(parts, ["block", "node"]).select("cluster", *columns)
+        sizes = inside.groupBy("block").agg(F.count_if(F.col("side") == "l").alias("nl"), F.count_if(F.col("side") == "r").alias("nr"))
+        sizes = sizes.select("block", _chunks("nl", split).alias("kl"), _chunks("nr", split).alias("kr"))
+        left, k = F.col("side") == "l", lambda a, b: F.when(F.col("side") == "l", F.col(a)).otherwise(F.col(b))
+        rows = _dealt(inside, sizes, "cluster", k("kl", "kr"), k("kr", "kl"))
+        rows = rows.select("block", F.when(left, F.col("chunk")).otherwise(F.col("with")).alias("p"), F.when(left, F.col("with")).otherwise(F.col("chunk")).alias("q"), "cluster", "node", "side", *FIELDS)
+        far = by_group(rows, ["block", "p", "q"], lambda key, rows: candidates(sorted((r[3:] for r in rows), key=lambda r: r[1])), schema)
+        own = settled.select(F.lit("m").alias("row"), "node", "cluster", F.lit(0).cast("bigint").alias("other"), F.col("strength").alias("total"), F.lit(0).cast("bigint").alias("n"))
+        got = got.unionByName(far).unionByName(own)
+    got = materialize(got, "candidates")
     clusters, links = settle(got.where("row = 'm'").select("node", "cluster", F.col("total").alias("strength")))
     roots = materialize(components(links).select(F.col("a").alias("cluster"), F.col("root").alias("head")), "roots")
     clusters = materialize(with_heads(clusters, "cluster", roots), "clusters")

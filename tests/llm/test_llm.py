@@ -398,6 +398,34 @@ def test_hot_blocks_are_split_without_loss(frame, spark):
     assert len(lost) + len(won) <= 0.05 * len(pairs(whole)), (len(pairs(whole)), len(lost), len(won))
 
 
+def hot_people(seed):
+    """Alike names, initials and short names, people of either side with several records, in one place."""
+    rng = random.Random(seed)
+    rows = []
+    for p in range(70):
+        sur, firm = rng.choice(["manhesk", "torvash", "quilman"]) + rng.choice(["", "ton", "man"]), rng.choice(["grisowlin", "zenfarok", "tolbarit", "wexhammer"])
+        first, nick = rng.choice([("WILLIAM", "BILL"), ("WALTER", "WALT"), ("WANDA", "WANDA")])
+        for k in range(4):
+            at = rng.randint(1, len(sur) - 2)
+            name = f"{sur[:at] + sur[at + 1:] if rng.random() < 0.2 else sur}, {rng.choice([first, nick, first[0] + '.', first + ' J'])}"
+            rows.append(person(f"{rng.choice('lr')}:{p}:{k}", name, emp=rng.choice([f"{firm} Steel", None]), occ=rng.choice(["WRITER", "NURSE", None]), zip_=rng.choice(["89501", "89502"])))
+    return rows
+
+
+def test_clusters_do_not_depend_on_the_split(frame):
+    people = persons.read_people(frame(PEOPLE, *hot_people(8)), ["william", "walter", "wanda"], ["Steel"])
+    of = lambda split: {(r.rec, r.cluster) for r in persons.person_clusters(people, split=split).collect()}
+    whole = of(10_000)
+    assert len({c for _, c in whole}) < 0.8 * len(whole) and of(60) == whole and of(15) == whole
+
+
+def test_links_do_not_depend_on_the_split(frame):
+    people = persons.read_people(frame(PEOPLE, *hot_people(9)), ["william", "walter", "wanda"], ["Steel"]).withColumn("side", F.substring("rec", 1, 1))
+    of = lambda split: {(r.left_rec, r.right_rec, round(r.probability, 6)) for r in persons.linked_sources(people, split=split).collect()}
+    whole = of(10_000)
+    assert len(whole) > 20 and of(25) == whole
+
+
 def test_linked_sources(frame):
     rows = [
         person("l:P1", "William J Philerby", emp="Acme Steel"), person("l:P2", "Anita Philerby Sr"), person("l:P3", "Anita Philerby Jr"), person("l:P4", "Mary Nobody"),

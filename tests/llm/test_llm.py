@@ -210,6 +210,16 @@ def test_truth_with_rank(frame, spark):
     assert truth.truth_discovery(none, F.col("fp"), F.col("id"), F.col("src"), {"a": F.col("a")}, rank).count() == 0
 
 
+def test_a_rank_is_settled_without_a_search(frame):
+    from kinsieve.session import _WRITTEN
+
+    rows = [("g", 1, "s", "x", None, 5), ("g", 1, "s", None, "y", 9), ("g", 2, "t", "z", "z", 1), ("h", 3, "t", "z", "z", 1)]
+    written = len(_WRITTEN)
+    got = truth.truth_discovery(frame("fp string, id long, src string, a string, b string, n int", *rows), F.col("fp"), F.col("id"), F.col("src"), {"a": F.col("a"), "b": F.col("b")}, [F.col("n")])
+    # copies of a row id with unlike fields each count, as in the SQL
+    assert {(r.grp, r.field_name, r.value, r.row_id) for r in got.collect()} == {("g", "a", "x", 1), ("g", "b", "y", 1)} and len(_WRITTEN) == written
+
+
 def test_truth_learns_reliable_sources(frame):
     # source g agrees with the majority elsewhere, source h never: a tie goes to g
     rows = [(f"k{i}", 10 * i + j, s, v) for i in range(20) for j, (s, v) in enumerate([("g", "yes"), ("m", "yes"), ("h", "no")])]

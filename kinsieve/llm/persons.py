@@ -229,7 +229,7 @@ def similar_names(names: list[str], vectors: Vectors, least: float = LEAST, post
         for i in met:
             other = own[i]
             both = keys & other.keys()
-            c = math.fsum([vector[g] * other[g] for g in both])  # in any order
+            c = sum([vector[g] * other[g] for g in both])
             if c >= least:
                 out[i, j] = c
         if j < most:
@@ -571,7 +571,7 @@ def _mean(xs: list[Evidence], ys: list[Evidence], vectors: Vectors) -> float:
 
 def _cosine(p: str, q: str, vectors: Vectors) -> float:
     own = vectors.of(p)
-    return math.fsum([x * own[g] for g, x in vectors.of(q).items() if g in own])
+    return sum([x * own[g] for g, x in vectors.of(q).items() if g in own])
 
 
 def _link_clusters(key: tuple, rows: list[tuple], vectors: Vectors) -> Iterator[tuple]:
@@ -749,37 +749,37 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
     people = materialize(people.where("kind = 'p'"), "read")
     located, nodes, vectors = _nodes(people, ["side", *NODE])
 
-    def clustered(own: list[tuple]) -> Iterator[tuple]:
-        """(node, cluster, strength) of the rows of one side."""
-        labels, strength = cluster_block([Evidence(*r[3:]) for r in own], vectors.value)
-        for r, c, s in zip(own, labels, strength):
-            yield r[1], own[c][1], s
-
     def resolve(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: r[1])
-        cluster = {}
+        read = []
         for side in ("l", "r"):
             own = [r for r in rows if r[2] == side]
-            for node, c, s in clustered(own) if own else ():
-                cluster[node] = c
-                yield "m", node, c, 0, s, 0
-        yield from candidates([(cluster[r[1]], *r[1:]) for r in rows])
+            if own:
+                ev = [Evidence(*r[3:]) for r in own]
+                labels, strength = cluster_block(ev, vectors.value)
+                for r, e, c, s in zip(own, ev, labels, strength):
+                    yield "m", r[1], own[c][1], 0, s, 0
+                    read.append((own[c][1], side, e))
+        yield from candidates(read)
 
     def resolve_part(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         # rows(block, node, side, FIELDS..., part)
         rows.sort(key=lambda r: r[1])
-        for node, c, s in clustered([r[:-1] for r in rows]):
-            yield key[0], node, c, s
-
-    def candidates(rows: list[tuple]) -> Iterator[tuple]:
-        """Evidence between the clusters of both sides, for rows(cluster, node, side, FIELDS...) by node."""
-        parts: dict[str, list[tuple[int, list[Evidence]]]] = {}
-        for side in ("l", "r"):
-            groups: dict[int, list[Evidence]] = {}
-            for r in rows:
-                if r[2] == side:
-                    groups.setdefault(r[0], []).append(Evidence(*r[3:]))
-            parts[side] = list(groups.items())
+        labels, strength = cluster_block([Evidence(*r[3:-1]) for r in rows], vectors.value)
+        for r, c, s in zip(rows, labels, strength):
+            yield key[0], r[1], rows[c][1], s
+
+    def resolve_far(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        # rows(block, p, q, cluster, node, side, FIELDS...)
+        rows.sort(key=lambda r: r[4])
+        yield from candidates([(r[3], r[5], Evidence(*r[6:])) for r in rows])
+
+    def candidates(read: list[tuple]) -> Iterator[tuple]:
+        """Evidence between the clusters of both sides, for (cluster, side, evidence) in the order of nodes."""
+        sides: dict[str, dict[int, list[Evidence]]] = {"l": {}, "r": {}}
+        for c, side, e in read:
+            sides[side].setdefault(c, []).append(e)
+        parts = {side: list(groups.items()) for side, groups in sides.items()}
         if not parts["l"] or not parts["r"]:
             return
         # candidates: clusters with names that the cosine join brings together; two given names that are
@@ -827,7 +827,7 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
         left, k = F.col("side") == "l", lambda a, b: F.when(F.col("side") == "l", F.col(a)).otherwise(F.col(b))
         rows = _dealt(inside, sizes, "cluster", k("kl", "kr"), k("kr", "kl"))
         rows = rows.select("block", F.when(left, F.col("chunk")).otherwise(F.col("with")).alias("p"), F.when(left, F.col("with")).otherwise(F.col("chunk")).alias("q"), "cluster", "node", "side", *FIELDS)
-        far = by_group(rows, ["block", "p", "q"], lambda key, rows: candidates(sorted((r[3:] for r in rows), key=lambda r: r[1])), schema)
+        far = by_group(rows, ["block", "p", "q"], resolve_far, schema)
         own = settled.select(F.lit("m").alias("row"), "node", "cluster", F.lit(0).cast("bigint").alias("other"), F.col("strength").alias("total"), F.lit(0).cast("bigint").alias("n"))
         got = got.unionByName(far).unionByName(own)
     got = materialize(got, "candidates")

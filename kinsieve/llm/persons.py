@@ -51,6 +51,7 @@ LEAST = 0.4  # cosine of two whole names that are compared
 LEAST_SURNAME = 0.4  # the same of surnames, where a given name is an initial or has several readings
 AHEAD = 0.5  # by how much initials and the like agree better with one cluster than with any other
 SPLIT = 5000  # nodes of a block in one task
+BATCH = 256  # names in a matrix of cosines
 MISSING = -6.0  # evidence of a pair that the cosine join left out, or that contradict each other
 
 
@@ -242,6 +243,64 @@ def similar_names(names: list[str], vectors: Vectors, least: float = LEAST, post
     return out
 
 
+def alike_names(groups: list[list[str]], vectors: Vectors, least: float = LEAST, person: bool = True) -> Iterator[tuple[int, int, float]]:
+    """(i, j, cosine) within each group as `similar_names` gives, numbered over all groups, without pairs
+    whose surnames are sure to be two names, so that `unlike` gives None.
+
+    Small groups share a matrix of cosines, rounded, which says what may reach `least`. Of pairs below 0.6, or of
+    firms, the letters that two surnames do not share bound their edits from below. What is left is compared
+    in full. For groups beyond `BATCH` names the inverted index does the same: both ways leave the same evidence."""
+    batch: list[list[str]] = []
+    start = size = 0
+    for names in groups:
+        if len(names) > BATCH:
+            yield from _alike(batch, start, vectors, least, person)
+            start += size
+            for (i, j), c in similar_names(names, vectors, least).items():
+                yield start + i, start + j, c
+            batch, start, size = [], start + len(names), 0
+            continue
+        if size + len(names) > BATCH:
+            yield from _alike(batch, start, vectors, least, person)
+            batch, start, size = [], start + size, 0
+        batch.append(names)
+        size += len(names)
+    yield from _alike(batch, start, vectors, least, person)
+
+
+def _alike(groups: list[list[str]], start: int, vectors: Vectors, least: float, person: bool) -> Iterator[tuple[int, int, float]]:
+    sizes = [len(g) for g in groups]
+    n = sum(sizes)
+    if n == len(groups):
+        return
+    names = [x for g in groups for x in g]
+    own = [vectors.of(x) for x in names]
+    at: dict[str, int] = {}
+    cols = [at.setdefault(g, len(at)) for v in own for g in v]
+    m = np.zeros((n, len(at)), dtype=np.float32)
+    m[np.repeat(np.arange(n), [len(v) for v in own]), cols] = [w for v in own for w in v.values()]
+    cosines = m @ m.T
+    group = np.repeat(np.arange(len(groups)), sizes)
+    left, right = np.nonzero((cosines >= least - 1e-4) & (group[:, None] == group))
+    upper = left < right
+    left, right = left[upper], right[upper]
+    surnames = [x[x.index(" ") + 1 : -1] for x in names]
+    length = np.array([len(s) for s in surnames])
+    letter = np.frombuffer("".join(surnames).encode("utf-32-le"), dtype=np.uint32) & 31
+    count = np.bincount(np.repeat(np.arange(n) * 32, length) + letter, minlength=n * 32).reshape(n, 32)
+    shared = np.minimum(count[left], count[right]).sum(axis=1)
+    p, q = length[left], length[right]
+    # up to three edits, or one may be a part of the other
+    kept = (np.maximum(p, q) - shared < 4) | (shared == np.minimum(p, q))
+    if person:
+        kept |= cosines[left, right] >= 0.6 - 1e-4
+    for i, j in zip(left[kept].tolist(), right[kept].tolist()):
+        vector, other = own[j], own[i]
+        c = sum([vector[g] * other[g] for g in vector.keys() & other.keys()])
+        if c >= least:
+            yield start + i, start + j, c
+
+
 NONE: frozenset[str] = frozenset()
 
 
@@ -318,6 +377,14 @@ def same_word(p: str, q: str) -> bool:
 _masks = lru_cache(100_000)(masks)
 
 
+@lru_cache(100_000)
+def _letters_in(word: str) -> int:
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 31)
+    return out
+
+
 @lru_cache(200_000)
 def edits(p: str, q: str) -> int:
     """Levenshtein distance; a swap of letters, which leaves the same ones, as one."""
@@ -329,7 +396,9 @@ def surname_penalty(p: str, q: str, cosine: float) -> float | None:
     """What two spellings of a surname take away; None where they are two surnames."""
     if p == q:
         return 0.0
-    d = edits(p, q) if abs(len(p) - len(q)) < 4 else 9
+    a, b = _letters_in(p), _letters_in(q)
+    # an edit takes out one letter and brings in one, at most
+    d = edits(p, q) if abs(len(p) - len(q)) < 4 and (a & ~b).bit_count() < 4 and (b & ~a).bit_count() < 4 else 9
     if d <= 2:
         return 0.6 * d
     if min(len(p), len(q)) > 4 and (p.startswith(q) or q.startswith(p) or p.endswith(q) or q.endswith(p)):
@@ -471,11 +540,9 @@ def evidence_pairs(nodes: list[Evidence], vectors: Vectors, least: float = LEAST
             whole.setdefault(e.bases, {}).setdefault(e.name, []).append(i)
         short.setdefault(e.short, ([], []))[0 if e.sure else 1].append(i)
     near: list[tuple[list[int], list[int], float]] = []
-    for of in whole.values():
-        owners = list(of.values())
-        near += [(own, own, 1.0) for own in owners]
-        if len(owners) > 1:
-            near += [(owners[p], owners[q], c) for (p, q), c in similar_names(list(of), vectors, least).items()]
+    owners = [own for of in whole.values() for own in of.values()]
+    near += [(own, own, 1.0) for own in owners]
+    near += [(owners[p], owners[q], c) for p, q, c in alike_names([list(of) for of in whole.values()], vectors, least, nodes[0].kind == "p")]
     names = sorted(short, key=lambda n: not short[n][1])
     loose_names = sum(1 for n in names if short[n][1])
     if loose_names:
@@ -793,11 +860,10 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
                         whole.setdefault(e.bases, {}).setdefault(e.name, (set(), set()))[k].add(n)
                     short.setdefault(e.short, (set(), set(), set(), set()))[k if e.sure else k + 2].add(n)
         pairs = set()
-        for of in whole.values():
-            owners = list(of.values())
-            for p, q in [(p, p) for p in range(len(owners))] + list(similar_names(list(of), vectors.value)):
-                for x, y in ((p, q), (q, p)):
-                    pairs.update((n, m) for n in owners[x][0] for m in owners[y][1])
+        owners = [own for of in whole.values() for own in of.values()]
+        for p, q in [(p, p) for p in range(len(owners))] + [(p, q) for p, q, _ in alike_names([list(of) for of in whole.values()], vectors.value)]:
+            for x, y in ((p, q), (q, p)):
+                pairs.update((n, m) for n in owners[x][0] for m in owners[y][1])
         names = sorted(short, key=lambda n: not (short[n][2] or short[n][3]))
         loose = sum(1 for n in names if short[n][2] or short[n][3])
         if loose:

@@ -337,6 +337,34 @@ def test_whole_names_against_brute_force():
     assert set(persons.similar_names(names_, VECTORS, 0.5)) == want and want
 
 
+@pytest.mark.parametrize("person", [True, False])
+def test_alike_names_lose_no_evidence(person, monkeypatch):
+    rng = random.Random(5)
+    sure = lambda: "".join(rng.choice(["ro", "ber", "tson", "man", "ey", "li", "de", "x"]) for _ in range(rng.randint(1, 4)))
+    groups = [[f"{g} {s}$" for s in dict.fromkeys(sure() for _ in range(n))] for g, n in (("^jane", 60), ("^christopher", 40), ("^bo", 1), ("", 30))]
+    names_ = [x for g in groups for x in g]
+    surname = lambda i: names_[i].split(" ")[1][:-1]
+    told = lambda i, j, c: persons.surname_penalty(surname(i), surname(j), c if person else 0.0) is not None
+    want, start = {}, 0
+    for g in groups:
+        want |= {(start + i, start + j): c for (i, j), c in persons.similar_names(g, VECTORS).items() if told(start + i, start + j, c)}
+        start += len(g)
+    for batch in (2, 50, 1000):
+        monkeypatch.setattr(persons, "BATCH", batch)
+        got = {(i, j): c for i, j, c in persons.alike_names(groups, VECTORS, person=person)}
+        assert {k: c for k, c in got.items() if told(*k, c)} == want and want
+
+
+def test_edits_are_counted_only_where_letters_allow(monkeypatch):
+    asked = []
+    monkeypatch.setattr(persons, "edits", lambda p, q: asked.append((p, q)) or 9)
+    surnames = [a + b + "son" for a in ("pqu", "wib", "zyg") for b in ("ehtm", "kaol", "rudf")]
+    nodes = [persons.Evidence("p", s, "christopher", "", "", "89501", "", "", "", "") for s in surnames]
+    assert len(set(persons.cluster_block(nodes, VECTORS)[0])) == len(nodes)
+    # of 36 pairs
+    assert len(asked) < 18
+
+
 def test_unlike_evidence_is_never_left_out():
     # people named alike at one zip with unlike employers and streets: as many clusters as records, at any number
     rng = random.Random(8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 from kinsieve.functions.rules import NICKNAME_GROUPS
 from kinsieve.llm.edit import typo_distance
@@ -186,6 +187,9 @@ _DIGIT = str.maketrans("01", "ol")
 _ZERO_ONE = re.compile(r"(?<=[a-z])[01]|[01](?=[a-z]{2})")
 _TOKEN = re.compile(r"[a-z]+|\d(?:nd|rd|th)")
 _ASIDE = TITLES | CREDENTIALS | set(SUFFIXES) | {f"{n}{x}" for n in range(10) for x in ("nd", "rd", "th")}
+# surname, given name, middle name, of letters only, as most entries are
+_PLAIN = re.compile(r"\s*([a-z]+)\s*,\s*([a-z]+)(?:\s+([a-z]+)\.?)?\s*")
+_TOLD = _ASIDE | _ORG | NOBODY | {"until", "thru", "of"}
 UNSURE = "~"  # marks a given name that is not among the known ones
 
 
@@ -246,6 +250,10 @@ def read_name(text: str | None, given: GivenNames) -> tuple[str, str, str, str,
     """(kind, surname, first, middle, suffix), kind 'p' or 'o'; None where the entry names nobody.
     The surname is joined without blanks and hyphens. Given names are corrected, not expanded; one that
     is not known ends in UNSURE. Of an organisation, surname holds the names, first the kind of firm."""
+    if isinstance(text, str) and text.isascii() and (plain := _PLAIN.fullmatch(text.lower())):
+        sur, first, middle = plain.groups("")
+        if _TOLD.isdisjoint((sur, first, middle, sur + first + middle)):
+            return "p", sur, *_given(first, middle, given), ""
     t = clean(text)
     before, comma, after = t.partition(",")
     sur = _TOKEN.findall(before)
@@ -296,22 +304,26 @@ def read_name(text: str | None, given: GivenNames) -> tuple[str, str, str, str,
         if not names:
             # no given name is known: the last word is the surname
             sur, names = tokens[-1:], tokens[:-1]
-    first = names[0]
+    return "p", sur[0] if len(sur) == 1 else "".join(sur), *_given(names[0], names[1] if len(names) > 1 else "", given), suffix
+
+
+def _given(first: str, middle: str, given: GivenNames) -> tuple[str, str]:
     if len(first) > 1:
         first = given.meant(first) or first + UNSURE
-    middle = names[1] if len(names) > 1 else ""
     if len(middle) > 1:
         middle = given.meant(middle) or middle
-    return "p", sur[0] if len(sur) == 1 else "".join(sur), first, middle, suffix
+    return first, middle
 
 
 _ONE = {n: frozenset(b) for n, b in BASES.items()}
 
 
+@lru_cache(100_000)
 def bases(name: str) -> frozenset[str]:
     return _ONE.get(name) or frozenset((name,))
 
 
+@lru_cache(100_000)
 def letters(first: str, middle: str) -> str:
     """The letters under which a name may be met: of its given name, of the formal ones it is short for,
     and of the middle name where the first is an initial. All where no given name is there."""

@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,9 +61,11 @@ def given_names(names: DataFrame, column: str, share: int = 5000) -> list[str]:
     words = names.where(F.contains(column, F.lit(","))).select(
         F.explode(F.regexp_extract_all(F.lower(F.substring_index(column, ",", -1)), F.lit("([a-z]+)"), F.lit(1))).alias("w")
     ).where("length(w) > 1")
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    counts = materialize(words.groupBy("w").agg(F.count("*").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return sorted(r.w for r in counts.where(F.col("n") >= max(total / share, 3)).select("w").collect())
+    found = sorted(r.w for r in counts.where(F.col("n") >= max(total / share, 3)).select("w").collect())
+    discard(counts)
+    return found
 
 
 class EmployerKey:
@@ -110,11 +113,11 @@ def read_people(records: DataFrame, given: list[str], industries: list[str]) ->
         known, key = GivenNames(shared.value[0]), EmployerKey(shared.value[1])
         # few are distinct; what is remembered is bounded
         wheres: dict[tuple[str, str], str] = {}
-        for pdf in batches:
+        for batch in batches:
             out = []
             if len(wheres) > 200_000:
                 wheres.clear()
-            for rec, name, city, state, z, employers, occ, address, org in zip(*[pdf[c].tolist() for c in pdf.columns]):
+            for rec, name, city, state, z, employers, occ, address, org in zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns]):
                 n = read_name(name, known)
                 if n is None or not n[1]:
                     continue
@@ -135,9 +138,10 @@ def read_people(records: DataFrame, given: list[str], industries: list[str]) ->
                 emps = " ".join(dict.fromkeys(k for e in employers.split(_BETWEEN) if (k := key.of(e)))) if employers else ""
                 kind, sur, first, middle, suffix = n
                 out.append((rec, name, where, z[:3], kind, "0" if kind == "o" else letters(first, middle), sur, first, middle, suffix, z, emps, occ, street, org))
-            yield pd.DataFrame(out, columns=["rec", "name", "city", *NODE])
+            columns = ["rec", "name", "city", *NODE]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)] or [pa.array([], pa.string()) for _ in columns], columns)
 
-    return rows.mapInPandas(run, _READ)
+    return rows.mapInArrow(run, _READ)
 
 
 def with_places(people: DataFrame) -> DataFrame:
@@ -145,12 +149,14 @@ def with_places(people: DataFrame) -> DataFrame:
     counted = people.where("loc <> '' and city <> ''").groupBy("city", "loc").agg(F.count("*").alias("n"))
     usual = materialize(counted.groupBy("city").agg(F.max(F.struct("n", "loc")).getField("loc").alias("usual")), "cities")
     lost = people.where("loc = ''").join(usual, "city", "left")
-    return people.where("loc <> ''").drop("city").unionByName(lost.withColumn("loc", F.coalesce("usual", F.lit("?"))).drop("city", "usual"))
+    found = materialize(lost.withColumn("loc", F.coalesce("usual", F.lit("?"))).drop("city", "usual"), "places")
+    return people.where("loc <> ''").drop("city").unionByName(found)
 
 
 # vectors
 
 
+@lru_cache(100_000)
 def formal(first: str) -> str:
     """The given name as it stands in the whole name: formal where there is one reading."""
     name = first.rstrip(UNSURE)
@@ -687,26 +693,31 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _evidence_words(emps: str = "emps", org: str = "org") -> Column:
-    return F.concat(F.filter(F.split(emps, " "), lambda x: x != ""), F.filter(F.array(F.concat(F.lit("@"), F.col(org))), lambda x: x != "@"))
+    # without a lambda, which is not compiled
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(F.col(emps) != "", F.split(emps, " ")).otherwise(none), F.when(F.col(org) != "", F.array(F.concat(F.lit("@"), F.col(org)))).otherwise(none))
 
 
 def across_places(nodes: DataFrame, clusters: DataFrame, vectors) -> tuple[DataFrame, DataFrame]:
     """Clusters of two places that share a surname and an employer or organisation, compared whole:
     (cluster, head) of those that belong to another one, and the evidence (a, b, total, n) between sides.
     nodes(node, side, loc, FIELDS...), clusters(node, cluster); both are read several times."""
-    posted = nodes.where("emps <> '' or org <> ''").select("node", "loc", "kind", "sur", F.explode(_evidence_words()).alias("word")).select("node", "loc", F.xxhash64("kind", "sur", "word").alias("key"))
+    posted = nodes.where("emps <> '' or org <> ''").select("node", "loc", "kind", "sur", F.explode(_evidence_words()).alias("word")).select("node", F.xxhash64("loc").alias("place"), F.xxhash64("kind", "sur", "word").alias("key"))
     # most keys are known in one place only
-    wide = posted.groupBy("key").agg(F.min("loc").alias("least"), F.max("loc").alias("most")).where("least <> most").select("key")
+    wide = posted.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least <> most").select("key")
     touched = materialize(posted.join(wide, "key").join(clusters, "node").select("key", "cluster").distinct(), "touched")
     fields = ["key", "cluster", "side", "loc", "node", *FIELDS]
     schema = "row string, a bigint, b bigint, total double, n bigint"
-    whole = lambda keys: keys.join(clusters, "cluster").join(nodes, "node").select(*fields)
+    # few clusters are in question, so all their rows are looked up once
+    members = materialize(touched.select("cluster").distinct().join(clusters, "cluster").join(nodes, "node").select(*fields[1:]), "members")
+    whole = lambda keys: keys.join(members, "cluster").select(*fields)
     link = lambda key, rows: _link_clusters(key, rows, vectors.value)
     links = materialize(by_group(whole(touched), ["key"], link, schema), "across")
     # what hangs together by several keys is decided at once
     together = components(links.where("row = 'm'")).select(F.col("a").alias("cluster"), F.col("root").alias("key"))
     heads = materialize(by_group(whole(together), ["key"], link, schema).where("row = 'm'").select(F.col("a").alias("cluster"), F.col("b").alias("head")), "heads")
     discard(touched)
+    discard(members)
     return heads, links.where("row = 'e'").select("a", "b", "total", "n").distinct()
 
 
@@ -724,7 +735,7 @@ def _chunks(n: str, split: int) -> Column:
 def blocks(nodes: DataFrame, vectors, split: int = SPLIT, least: float = LEAST, side: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame | None]:
     """(whole, parts): nodes with `block`, a row for each block that a node stands in. Blocks of more than
     `split` nodes, if any, are in `parts`, with `part` for what hangs together in them (and is of one `side`)."""
-    out = nodes.select("*", F.explode(F.filter(F.split("letters", ""), lambda x: x != "")).alias("letter")).select("*", F.xxhash64("loc", "kind", "letter").alias("block")).drop("letter")
+    out = nodes.select("*", F.explode(F.array_remove(F.split("letters", ""), "")).alias("letter")).select("*", F.xxhash64("loc", "kind", "letter").alias("block")).drop("letter")
     hot = out.groupBy("block").agg(F.count("*").alias("n")).where(F.col("n") > split)
     if hot.isEmpty():
         return out, None
@@ -754,14 +765,21 @@ def _nodes(people: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, ob
     return located, nodes, people.sparkSession.sparkContext.broadcast(Vectors(counts, total))
 
 
+def _shared() -> Column:
+    """Whether a node stands in several blocks."""
+    return (F.length("letters") > 1).alias("shared")
+
+
 def settle(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, cluster) and the links (a, b) of clusters that a sure node holds together, for
-    found(node, cluster, strength) of all blocks. A node that is not sure goes where it is strongest."""
+    found(node, cluster, strength, shared) of all blocks, shared where a node may stand in several of them. A
+    node that is not sure goes where it is strongest."""
+    alone, found = found.where("not shared").select("node", "cluster"), found.where("shared")
     seen = materialize(found.groupBy("node").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.max("strength").alias("s")), "memberships")
     # few nodes stand in several blocks with unlike clusters
     several = found.join(seen.where("low <> high").select("node"), "node")
     best = several.groupBy("node").agg(F.max(F.struct("strength", "cluster")).alias("b")).select("node", "b.cluster", "b.strength")
-    clusters = seen.where("low = high").select("node", F.col("low").alias("cluster")).unionByName(best.select("node", "cluster"))
+    clusters = alone.unionByName(seen.where("low = high").select("node", F.col("low").alias("cluster"))).unionByName(best.select("node", "cluster"))
     held = best.where("strength = double('infinity')").select("node", F.col("cluster").alias("b"))
     links = several.where("strength = double('infinity')").join(held, "node").where("cluster <> b").select(F.col("cluster").alias("a"), "b").distinct()
     return clusters, links
@@ -775,16 +793,16 @@ def person_clusters(people: DataFrame, split: int = SPLIT, least: float = LEAST)
 
     def resolve(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: r[2])
-        labels, strength = cluster_block([Evidence(*r[3:]) for r in rows], vectors.value, least)
+        labels, strength = cluster_block([Evidence(*r[3:-1]) for r in rows], vectors.value, least)
         for r, c, s in zip(rows, labels, strength):
-            yield r[2], rows[c][2], s
+            yield r[2], rows[c][2], s, r[-1]
 
     whole, parts = blocks(nodes, vectors, split, least)
     grouped = whole.withColumn("part", F.col("block"))
     if parts is not None:
         grouped = grouped.unionByName(parts)
-    grouped = grouped.select("block", "part", "node", *FIELDS)
-    found = materialize(by_group(grouped, ["block", "part"], resolve, "node bigint, cluster bigint, strength double"), "found")
+    grouped = grouped.select("block", "part", "node", *FIELDS, _shared())
+    found = materialize(by_group(grouped, ["block", "part"], resolve, "node bigint, cluster bigint, strength double, shared boolean"), "found")
     clusters, links = settle(found)
     clusters = with_heads(clusters, "cluster", components(links).select(F.col("a").alias("cluster"), F.col("root").alias("head")))
     clusters = materialize(clusters, "clusters")
@@ -822,19 +840,19 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
         for side in ("l", "r"):
             own = [r for r in rows if r[2] == side]
             if own:
-                ev = [Evidence(*r[3:]) for r in own]
+                ev = [Evidence(*r[3:-1]) for r in own]
                 labels, strength = cluster_block(ev, vectors.value)
                 for r, e, c, s in zip(own, ev, labels, strength):
-                    yield "m", r[1], own[c][1], 0, s, 0
+                    yield "m", r[1], own[c][1], 0, s, int(r[-1])
                     read.append((own[c][1], side, e))
         yield from candidates(read)
 
     def resolve_part(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        # rows(block, node, side, FIELDS..., part)
+        # rows(block, node, side, FIELDS..., shared, part)
         rows.sort(key=lambda r: r[1])
-        labels, strength = cluster_block([Evidence(*r[3:-1]) for r in rows], vectors.value)
+        labels, strength = cluster_block([Evidence(*r[3:-2]) for r in rows], vectors.value)
         for r, c, s in zip(rows, labels, strength):
-            yield key[0], r[1], rows[c][1], s
+            yield key[0], r[1], rows[c][1], s, int(r[-2])
 
     def resolve_far(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         # rows(block, p, q, cluster, node, side, FIELDS...)
@@ -883,10 +901,10 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
     schema = "row string, node bigint, cluster bigint, other bigint, total double, n bigint"
     columns = ["block", "node", "side", *FIELDS]
     whole, parts = blocks(nodes, vectors, split, side=("side",))
-    got = by_group(whole.select(columns), ["block"], resolve, schema)
+    got = by_group(whole.select(*columns, _shared()), ["block"], resolve, schema)
     if parts is not None:
         # hot blocks: clusters part by part, then whole clusters of either side are dealt to tasks
-        settled = materialize(by_group(parts.select(*columns, "part"), ["block", "part"], resolve_part, "block bigint, node bigint, cluster bigint, strength double"), "settled")
+        settled = materialize(by_group(parts.select(*columns, _shared(), "part"), ["block", "part"], resolve_part, "block bigint, node bigint, cluster bigint, strength double, shared bigint"), "settled")
         inside = settled.join(parts, ["block", "node"]).select("cluster", *columns)
         sizes = inside.groupBy("block").agg(F.count_if(F.col("side") == "l").alias("nl"), F.count_if(F.col("side") == "r").alias("nr"))
         sizes = sizes.select("block", _chunks("nl", split).alias("kl"), _chunks("nr", split).alias("kr"))
@@ -894,10 +912,10 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
         rows = _dealt(inside, sizes, "cluster", k("kl", "kr"), k("kr", "kl"))
         rows = rows.select("block", F.when(left, F.col("chunk")).otherwise(F.col("with")).alias("p"), F.when(left, F.col("with")).otherwise(F.col("chunk")).alias("q"), "cluster", "node", "side", *FIELDS)
         far = by_group(rows, ["block", "p", "q"], resolve_far, schema)
-        own = settled.select(F.lit("m").alias("row"), "node", "cluster", F.lit(0).cast("bigint").alias("other"), F.col("strength").alias("total"), F.lit(0).cast("bigint").alias("n"))
+        own = settled.select(F.lit("m").alias("row"), "node", "cluster", F.lit(0).cast("bigint").alias("other"), F.col("strength").alias("total"), F.col("shared").alias("n"))
         got = got.unionByName(far).unionByName(own)
     got = materialize(got, "candidates")
-    clusters, links = settle(got.where("row = 'm'").select("node", "cluster", F.col("total").alias("strength")))
+    clusters, links = settle(got.where("row = 'm'").select("node", "cluster", F.col("total").alias("strength"), (F.col("n") > 0).alias("shared")))
     roots = materialize(components(links).select(F.col("a").alias("cluster"), F.col("root").alias("head")), "roots")
     clusters = materialize(with_heads(clusters, "cluster", roots), "clusters")
     heads, far = across_places(nodes, clusters, vectors)

@@ -7,6 +7,7 @@ import re
 import unicodedata
 
 _ZIP = re.compile(r"(?<![\d-])(\d{5})(?:-?\d{4})?(?![\d-])")
+_NO_DIGIT = re.compile(r"\D")
 _BOX = re.compile(r"\b(?:p\.?\s*o\.?\s*)?(?:box|b0x)\s*#?\s*(\d+)\b|\bpob\s*#?\s*(\d+)\b|\bp\.?\s?o\.?\s+(?:b\w{1,3}\s+)?(\d+)\b")
 _UNIT = re.compile(
     r"(?<![a-z])(?:apt|apartment|apartm?|unit|ste|suite|fl|floor|flr|rm|room)\.?\s*(?:#|no\.?)?\s*(\d{1,3}\s?-?[a-z]?|[a-z]\d{0,3}|[a-z]-?\d{1,3})(?![a-z0-9])|#\s*(\d{1,4}\s?-?[a-z]?|[a-z]-?\d{0,3})(?![a-z0-9])"
@@ -30,7 +31,7 @@ def fold(text: str | None) -> str:
 
 def zip5(text: str | None) -> str:
     """The first five digits; four digits lost a leading zero."""
-    d = re.sub(r"\D", "", text) if isinstance(text, str) else ""
+    d = _NO_DIGIT.sub("", text) if isinstance(text, str) else ""
     if len(d) in (4, 8):
         d = "0" + d
     return d[:5] if len(d) >= 5 else ""

@@ -526,6 +526,17 @@ def test_sources_linked_across_places(frame):
     assert {(r.left_rec, r.right_rec) for r in persons.linked_sources(people).where("probability >= 0.5").collect()} == {("l:1", "r:2"), ("l:1", "r:3")}
 
 
+def test_only_nodes_of_several_blocks_are_settled(frame, monkeypatch):
+    written, write = {}, persons.materialize
+    monkeypatch.setattr(persons, "materialize", lambda df, label: written.setdefault(label, write(df, label)))
+    inf = float("inf")
+    rows = [(1, 10, inf, False), (2, 10, inf, True), (2, 20, inf, True), (3, 20, 1.0, True), (3, 30, 2.0, True), (4, 40, 0.0, True)]
+    clusters, links = persons.settle(frame("node long, cluster long, strength double, shared boolean", *rows))
+    assert {(r.node, r.cluster) for r in clusters.collect()} == {(1, 10), (2, 20), (3, 30), (4, 40)}
+    assert [(r.a, r.b) for r in links.collect()] == [(10, 20)]
+    assert {r.node for r in written["memberships"].collect()} == {2, 3, 4}
+
+
 def test_components(frame):
     rows = [(i, i + 1) for i in range(9)] + [(20, 21), (30, 21)]
     assert {(r.a, r.root) for r in persons.components(frame("a long, b long", *rows)).collect()} == {(i, 0) for i in range(10)} | {(i, 20) for i in (20, 21, 30)}

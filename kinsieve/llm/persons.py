@@ -52,7 +52,8 @@ LEAST = 0.4  # cosine of two whole names that are compared
 LEAST_SURNAME = 0.4  # the same of surnames, where a given name is an initial or has several readings
 AHEAD = 0.5  # by how much initials and the like agree better with one cluster than with any other
 SPLIT = 5000  # nodes of a block in one task
-BATCH = 256  # names in a matrix of cosines
+BATCH = 256  # names of small groups that are joined at once
+CELLS = 1 << 18  # pairs whose cosines are added up at once
 MISSING = -6.0  # evidence of a pair that the cosine join left out, or that contradict each other
 
 
@@ -183,6 +184,18 @@ class Vectors:
         self.idf = {g: math.log(1 + total / max(n, floor)) for g, n in counts.items()}
         self.rare = math.log(1 + total / floor)
         self._memo: dict[str, dict[str, float]] = {}
+        known = sorted((int(_codes(g)[0]), x) for g, x in self.idf.items())
+        self._known, self._weights = np.array([c for c, _ in known], dtype=np.int64), np.array([x for _, x in known])
+
+    def numbered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of grams, and what each number weighs."""
+        at = np.searchsorted(self._known, codes)
+        new = np.append(self._known, -1)[at] != codes
+        if not new.any():
+            return at, self._weights
+        unknown, at[new] = np.unique(codes[new], return_inverse=True)
+        at[new] += len(self._known)
+        return at, np.concatenate((self._weights, np.full(len(unknown), self.rare)))
 
     def of(self, name: str) -> dict[str, float]:
         """The weights by gram, the rarest first."""
@@ -215,81 +228,98 @@ def gram_counts(people: DataFrame) -> tuple[dict[str, int], int]:
 
 def similar_names(names: list[str], vectors: Vectors, least: float = LEAST, posted: int | None = None) -> dict[tuple[int, int], float]:
     """(i, j), i < j, of the names with a cosine of at least `least`, by an inverted index of their grams.
-    Where only the first `posted` names are indexed, pairs have one of them.
-
-    Only a name's rarest grams are looked up: what is left of its squared length, with all of the other's,
-    could not make `least`. The few names met there are compared in full."""
-    index: dict[str, list[int]] = {}
-    out: dict[tuple[int, int], float] = {}
-    own = [vectors.of(n) for n in names]
-    most, bar = len(names) if posted is None else posted, least * least - 1e-9
-    for j, vector in enumerate(own):
-        left, met = 1.0, set()
-        for g, x in vector.items():
-            if left < bar:
-                break
-            left -= x * x
-            found = index.get(g)
-            if found is not None:
-                met.update(found)
-        keys = vector.keys()
-        for i in met:
-            other = own[i]
-            both = keys & other.keys()
-            c = sum([vector[g] * other[g] for g in both])
-            if c >= least:
-                out[i, j] = c
-        if j < most:
-            for g in vector:
-                found = index.get(g)
-                if found is None:
-                    index[g] = [j]
-                else:
-                    found.append(j)
-    return out
-
-
-def alike_names(groups: list[list[str]], vectors: Vectors, least: float = LEAST, person: bool = True) -> Iterator[tuple[int, int, float]]:
+    Where only the first `posted` names are indexed, pairs have one of them."""
+    left, right, cosines = _joined(names, [len(names)], [len(names) if posted is None else posted], vectors, least)
+    return {(i, j): c for i, j, c in zip(left.tolist(), right.tolist(), cosines.tolist())}
+
+
+def _codes(text: str) -> np.ndarray:
+    """A number for each three letters that follow one another."""
+    c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+_NO_PAIRS = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+
+
+def _joined(names: list[str], sizes: list[int], posted: list[int], vectors: Vectors, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine), i < j, of the names within each group with a cosine of at least `least`. names: the
+    groups one after another, of these sizes; in each only the first `posted` ones are indexed.
+
+    The postings of a gram in a group stand together, so each name meets those before its own; a pair's
+    products are added up in a cell, for at most `CELLS` cells (or those of one name) at once."""
+    n, length = len(names), np.array([len(x) for x in names])
+    codes = _codes("".join(names))
+    row = np.repeat(np.arange(n), length)[: len(codes)]
+    # a gram ends within its name
+    inside = np.arange(len(codes)) < (np.cumsum(length) - 2)[row]
+    codes, row = codes[inside], row[inside]
+    gram, idf = vectors.numbered(codes)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    posting = np.sort((group[row] * len(idf) + gram) * n + row)
+    if not len(posting):
+        return _NO_PAIRS
+    posting = posting[np.concatenate(([True], posting[1:] != posting[:-1]))]
+    key, row = np.divmod(posting, n)
+    weight = idf[key % len(idf)]
+    weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    each = np.diff(first, append=len(key))
+    start = np.repeat(first, each)
+    indexed = np.arange(n) < np.repeat(np.cumsum(sizes) - sizes + posted, sizes)
+    met = np.minimum(np.arange(len(key)) - start, np.repeat(np.add.reduceat(indexed[row].astype(np.int64), first), each))
+    out = []
+    step = max(CELLS // n, 1)
+    for low in range(0, n, step):
+        asked = np.flatnonzero((met > 0) & (row >= low) & (row < low + step))
+        if not len(asked):
+            continue
+        many = met[asked]
+        end = np.cumsum(many)
+        left = np.arange(end[-1]) + np.repeat(start[asked] - end + many, many)
+        cosines = np.bincount(np.repeat((row[asked] - low) * n, many) + row[left], np.repeat(weight[asked], many) * weight[left])
+        found = np.flatnonzero(cosines >= least - 1e-9)
+        # at the threshold itself sums of another order must not decide
+        for at in np.flatnonzero(cosines[found] < least + 1e-9).tolist():
+            i, j = found[at] % n, found[at] // n + low
+            cosines[found[at]] = _cosine(names[i], names[j], vectors)
+        found = found[cosines[found] >= least]
+        out.append((found % n, found // n + low, cosines[found]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else _NO_PAIRS
+
+
+def alike_names(groups: list[list[str]], vectors: Vectors, least: float = LEAST, person: bool = True, posted: list[int] | None = None) -> Iterator[tuple[int, int, float]]:
     """(i, j, cosine) within each group as `similar_names` gives, numbered over all groups, without pairs
-    whose surnames are sure to be two names, so that `unlike` gives None.
+    whose surnames are sure to be two names, so that `unlike` gives None. Where only the first `posted` names
+    of each group are indexed, pairs have one of them.
 
-    Small groups share a matrix of cosines, rounded, which says what may reach `least`. Of pairs below 0.6, or of
-    firms, the letters that two surnames do not share bound their edits from below. What is left is compared
-    in full. For groups beyond `BATCH` names the inverted index does the same: both ways leave the same evidence."""
+    Small groups are joined together. Of pairs below 0.6, or of firms, the letters that two surnames do not
+    share bound their edits from below."""
     batch: list[list[str]] = []
+    firsts: list[int] = []
+    starts: list[int] = []
     start = size = 0
-    for names in groups:
-        if len(names) > BATCH:
-            yield from _alike(batch, start, vectors, least, person)
-            start += size
-            for (i, j), c in similar_names(names, vectors, least).items():
-                yield start + i, start + j, c
-            batch, start, size = [], start + len(names), 0
-            continue
-        if size + len(names) > BATCH:
-            yield from _alike(batch, start, vectors, least, person)
-            batch, start, size = [], start + size, 0
-        batch.append(names)
-        size += len(names)
-    yield from _alike(batch, start, vectors, least, person)
-
-
-def _alike(groups: list[list[str]], start: int, vectors: Vectors, least: float, person: bool) -> Iterator[tuple[int, int, float]]:
+    for k, names in enumerate(groups):
+        if len(names) > 1 and (posted is None or posted[k]):
+            if batch and size + len(names) > BATCH:
+                yield from _alike(batch, firsts, starts, vectors, least, person)
+                batch, firsts, starts, size = [], [], [], 0
+            batch.append(names)
+            firsts.append(len(names) if posted is None else posted[k])
+            starts.append(start)
+            size += len(names)
+        start += len(names)
+    if batch:
+        yield from _alike(batch, firsts, starts, vectors, least, person)
+
+
+def _alike(groups: list[list[str]], posted: list[int], starts: list[int], vectors: Vectors, least: float, person: bool) -> Iterator[tuple[int, int, float]]:
     sizes = [len(g) for g in groups]
-    n = sum(sizes)
-    if n == len(groups):
-        return
     names = [x for g in groups for x in g]
-    own = [vectors.of(x) for x in names]
-    at: dict[str, int] = {}
-    cols = [at.setdefault(g, len(at)) for v in own for g in v]
-    m = np.zeros((n, len(at)), dtype=np.float32)
-    m[np.repeat(np.arange(n), [len(v) for v in own]), cols] = [w for v in own for w in v.values()]
-    cosines = m @ m.T
-    group = np.repeat(np.arange(len(groups)), sizes)
-    left, right = np.nonzero((cosines >= least - 1e-4) & (group[:, None] == group))
-    upper = left < right
-    left, right = left[upper], right[upper]
+    left, right, cosines = _joined(names, sizes, posted, vectors, least)
+    if not len(left):
+        return
+    n = len(names)
     surnames = [x[x.index(" ") + 1 : -1] for x in names]
     length = np.array([len(s) for s in surnames])
     letter = np.frombuffer("".join(surnames).encode("utf-32-le"), dtype=np.uint32) & 31
@@ -299,12 +329,10 @@ def _alike(groups: list[list[str]], start: int, vectors: Vectors, least: float,
     # up to three edits, or one may be a part of the other
     kept = (np.maximum(p, q) - shared < 4) | (shared == np.minimum(p, q))
     if person:
-        kept |= cosines[left, right] >= 0.6 - 1e-4
-    for i, j in zip(left[kept].tolist(), right[kept].tolist()):
-        vector, other = own[j], own[i]
-        c = sum([vector[g] * other[g] for g in vector.keys() & other.keys()])
-        if c >= least:
-            yield start + i, start + j, c
+        kept |= cosines >= 0.6
+    number = np.arange(n) + np.repeat(np.array(starts) - np.cumsum(sizes) + sizes, sizes)
+    left, right = left[kept], right[kept]
+    yield from zip(number[left].tolist(), number[right].tolist(), cosines[kept].tolist())
 
 
 NONE: frozenset[str] = frozenset()
@@ -535,27 +563,47 @@ def _grouped(members: list[int], pairs: dict[tuple[int, int], float]) -> list[li
     return out
 
 
-def evidence_pairs(nodes: list[Evidence], vectors: Vectors, least: float = LEAST, chunks: list[int] | None = None) -> Iterator[tuple[int, int, float]]:
+class Alike:
+    """The names of a block that the cosine join brings together, (name, name, cosine): whole names of nodes that
+    are sure, of one formal given name, and surnames of which one has nodes that are not sure."""
+
+    def __init__(self, nodes: list[Evidence], vectors: Vectors, least: float = LEAST):
+        whole: dict[object, dict[str, None]] = {}
+        short: dict[str, bool] = {}
+        for e in nodes:
+            if e.sure:
+                whole.setdefault(e.bases, {})[e.name] = None
+            short[e.short] = short.get(e.short, True) and e.sure
+        names = sorted(short, key=short.__getitem__)
+        # all in one join
+        groups = [*map(list, whole.values()), names]
+        posted = [*map(len, groups[:-1]), len(names) - sum(short.values())]
+        found = list(alike_names(groups, vectors, least, nodes[0].kind == "p", posted))
+        flat = [n for g in groups for n in g]
+        first = len(flat) - len(names)
+        self.whole = [(flat[p], flat[q], c) for p, q, c in found if q < first]
+        self.short = [(flat[p], flat[q], c) for p, q, c in found if p >= first and c >= LEAST_SURNAME]
+
+
+def evidence_pairs(nodes: list[Evidence], vectors: Vectors, least: float = LEAST, chunks: list[int] | None = None, alike: Alike | None = None) -> Iterator[tuple[int, int, float]]:
     """(i, j, evidence), i < j, of the nodes whose names the cosine join brings together. With `chunks`, only
-    pairs of nodes of two chunks."""
+    pairs of nodes of two chunks. `alike` may hold names of other nodes too."""
+    alike = alike or Alike(nodes, vectors, least)
     # whole names where both given names are sure, and one formal name; surnames otherwise
-    whole: dict[object, dict[str, list[int]]] = {}
+    owners: dict[str, list[int]] = {}
     short: dict[str, tuple[list[int], list[int]]] = {}
     for i, e in enumerate(nodes):
         if e.sure:
-            whole.setdefault(e.bases, {}).setdefault(e.name, []).append(i)
+            owners.setdefault(e.name, []).append(i)
         short.setdefault(e.short, ([], []))[0 if e.sure else 1].append(i)
-    near: list[tuple[list[int], list[int], float]] = []
-    owners = [own for of in whole.values() for own in of.values()]
-    near += [(own, own, 1.0) for own in owners]
-    near += [(owners[p], owners[q], c) for p, q, c in alike_names([list(of) for of in whole.values()], vectors, least, nodes[0].kind == "p")]
-    names = sorted(short, key=lambda n: not short[n][1])
-    loose_names = sum(1 for n in names if short[n][1])
-    if loose_names:
-        for xs, us in (short[n] for n in names[:loose_names]):
+    near: list[tuple[list[int], list[int], float]] = [(own, own, 1.0) for own in owners.values()]
+    near += [(owners[p], owners[q], c) for p, q, c in alike.whole if p in owners and q in owners]
+    for xs, us in short.values():
+        if us:
             near += [(xs, us, 1.0), (us, us, 1.0)]
-        for (p, q), c in similar_names(names, vectors, max(least, LEAST_SURNAME), loose_names).items():
-            (xs, us), (ys, vs) = short[names[p]], short[names[q]]
+    for p, q, c in alike.short:
+        if p in short and q in short:
+            (xs, us), (ys, vs) = short[p], short[q]
             near += [(us, vs, c), (us, ys, c), (xs, vs, c)]
     for xs, ys, c in near:
         if not xs or not ys:
@@ -583,7 +631,7 @@ def hanging_together(nodes: list[Evidence], vectors: Vectors, least: float = LEA
             yield i, uf.find(i)
 
 
-def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST) -> tuple[list[int], list[float]]:
+def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST, alike: Alike | None = None) -> tuple[list[int], list[float]]:
     """For the nodes of a block the number of their cluster (its first member) and how strongly they
     belong to it: infinite, but for initials and the like."""
     n = len(nodes)
@@ -592,7 +640,7 @@ def cluster_block(nodes: list[Evidence], vectors: Vectors, least: float = LEAST)
     firm: dict[tuple[int, int], float] = {}
     loose: dict[tuple[int, int], float] = {}
     mixed: dict[int, dict[int, float]] = {}
-    for a, b, s in evidence_pairs(nodes, vectors, least):
+    for a, b, s in evidence_pairs(nodes, vectors, least, alike=alike):
         if nodes[a].sure and nodes[b].sure:
             firm[a, b] = s
         elif not (nodes[a].sure or nodes[b].sure):
@@ -836,16 +884,17 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
 
     def resolve(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         rows.sort(key=lambda r: r[1])
+        evidence = [Evidence(*r[3:-1]) for r in rows]
+        alike = Alike(evidence, vectors.value)
         read = []
         for side in ("l", "r"):
-            own = [r for r in rows if r[2] == side]
+            own = [(r, e) for r, e in zip(rows, evidence) if r[2] == side]
             if own:
-                ev = [Evidence(*r[3:-1]) for r in own]
-                labels, strength = cluster_block(ev, vectors.value)
-                for r, e, c, s in zip(own, ev, labels, strength):
-                    yield "m", r[1], own[c][1], 0, s, int(r[-1])
-                    read.append((own[c][1], side, e))
-        yield from candidates(read)
+                labels, strength = cluster_block([e for _, e in own], vectors.value, alike=alike)
+                for (r, e), c, s in zip(own, labels, strength):
+                    yield "m", r[1], own[c][0][1], 0, s, int(r[-1])
+                    read.append((own[c][0][1], side, e))
+        yield from candidates(read, alike)
 
     def resolve_part(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         # rows(block, node, side, FIELDS..., shared, part)
@@ -857,9 +906,10 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
     def resolve_far(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         # rows(block, p, q, cluster, node, side, FIELDS...)
         rows.sort(key=lambda r: r[4])
-        yield from candidates([(r[3], r[5], Evidence(*r[6:])) for r in rows])
+        read = [(r[3], r[5], Evidence(*r[6:])) for r in rows]
+        yield from candidates(read, Alike([e for _, _, e in read], vectors.value))
 
-    def candidates(read: list[tuple]) -> Iterator[tuple]:
+    def candidates(read: list[tuple], alike: Alike) -> Iterator[tuple]:
         """Evidence between the clusters of both sides, for (cluster, side, evidence) in the order of nodes."""
         sides: dict[str, dict[int, list[Evidence]]] = {"l": {}, "r": {}}
         for c, side, e in read:
@@ -869,26 +919,25 @@ def linked_sources(people: DataFrame, max_rounds: int = 200, split: int = SPLIT)
             return
         # candidates: clusters with names that the cosine join brings together; two given names that are
         # sure and unlike exclude each other
-        whole: dict[object, dict[str, tuple[set[int], set[int]]]] = {}
+        whole: dict[str, tuple[set[int], set[int]]] = {}
         short: dict[str, tuple[set[int], set[int], set[int], set[int]]] = {}
         for k, side in enumerate(("l", "r")):
             for n, (_, members) in enumerate(parts[side]):
                 for e in members:
                     if e.sure:
-                        whole.setdefault(e.bases, {}).setdefault(e.name, (set(), set()))[k].add(n)
+                        whole.setdefault(e.name, (set(), set()))[k].add(n)
                     short.setdefault(e.short, (set(), set(), set(), set()))[k if e.sure else k + 2].add(n)
-        pairs = set()
-        owners = [own for of in whole.values() for own in of.values()]
-        for p, q in [(p, p) for p in range(len(owners))] + [(p, q) for p, q, _ in alike_names([list(of) for of in whole.values()], vectors.value)]:
-            for x, y in ((p, q), (q, p)):
-                pairs.update((n, m) for n in owners[x][0] for m in owners[y][1])
-        names = sorted(short, key=lambda n: not (short[n][2] or short[n][3]))
-        loose = sum(1 for n in names if short[n][2] or short[n][3])
-        if loose:
-            for p, q in [(p, p) for p in range(loose)] + list(similar_names(names, vectors.value, LEAST_SURNAME, loose)):
-                for x, y in ((p, q), (q, p)):
-                    (ls, _, lu, _), (_, rs, _, ru) = short[names[x]], short[names[y]]
+        pairs = {(n, m) for ls, rs in whole.values() for n in ls for m in rs}
+        for p, q, _ in alike.whole:
+            for (ls, _), (_, rs) in ((whole[p], whole[q]), (whole[q], whole[p])):
+                if ls and rs:
+                    pairs.update((n, m) for n in ls for m in rs)
+        loose = [(n, n, 1.0) for n, own in short.items() if own[2] or own[3]]
+        for p, q, _ in loose + alike.short:
+            for (ls, _, lu, _), (_, rs, _, ru) in ((short[p], short[q]), (short[q], short[p])):
+                if lu and (rs or ru):
                     pairs.update((n, m) for n in lu for m in rs | ru)
+                if ls and ru:
                     pairs.update((n, m) for n in ls for m in ru)
         for n, m in sorted(pairs):
             (lc, lev), (rc, rev) = parts["l"][n], parts["r"][m]

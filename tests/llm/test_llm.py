@@ -355,6 +355,43 @@ def test_alike_names_lose_no_evidence(person, monkeypatch):
         assert {k: c for k, c in got.items() if told(*k, c)} == want and want
 
 
+@pytest.mark.parametrize("kind", ["p", "o"])
+def test_names_of_a_block_meet_once(kind, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ro", "ber", "tson", "man", "ey", "li"]) for _ in range(rng.randint(1, 4)))
+    nodes = [persons.Evidence(kind, word(), rng.choice(["christopher", "jane", "j", "", "chris"]), "", "", "89501", "", "", "", "") for _ in range(120)]
+    asked, join = [], persons.alike_names
+    monkeypatch.setattr(persons, "alike_names", lambda groups, *a: asked.append(sum(map(len, groups))) or join(groups, *a))
+    alike = persons.Alike(nodes, VECTORS)
+    for own in (nodes[:40], nodes[40:]):
+        want = {(i, j): s for i, j, s in persons.evidence_pairs(own, VECTORS) if s > persons.MISSING}
+        asked.clear()
+        got = {(i, j): s for i, j, s in persons.evidence_pairs(own, VECTORS, alike=alike)}
+        assert {k: s for k, s in got.items() if s > persons.MISSING} == pytest.approx(want) and want and not asked
+        assert persons.cluster_block(own, VECTORS, alike=alike) == persons.cluster_block(own, VECTORS)
+    # every pair that the names do not exclude is there
+    names_ = [(e.name, e.short) for e in nodes]
+    for i, a in enumerate(nodes):
+        for j in range(i):
+            b = nodes[j]
+            p, q, met = (a.name, b.name, alike.whole) if a.sure and b.sure else (a.short, b.short, alike.short)
+            c = persons._cosine(p, q, VECTORS)
+            if p != q and (not (a.sure and b.sure) or a.bases == b.bases) and c >= persons.LEAST + 1e-9 and persons.unlike(a, b, c) is not None:
+                assert any({x, y} == {p, q} for x, y, _ in met), (p, q, names_)
+
+
+def test_names_joined_in_parts(monkeypatch):
+    rng = random.Random(3)
+    names_ = sorted({" " + "".join(rng.choice("abcé") for _ in range(rng.randint(0, 9))) + "$" for _ in range(90)})
+    own = [VECTORS.of(n) for n in names_]
+    for posted in (None, 0, 7, len(names_)):
+        most = len(names_) if posted is None else posted
+        want = {(i, j): sum(x * own[j].get(g, 0) for g, x in own[i].items()) for i in range(most) for j in range(i + 1, len(names_))}
+        for cells in (1, 1000, 1 << 20):
+            monkeypatch.setattr(persons, "CELLS", cells)
+            assert persons.similar_names(names_, VECTORS, 0.47, posted) == pytest.approx({k: c for k, c in want.items() if c >= 0.47})
+
+
 def test_edits_are_counted_only_where_letters_allow(monkeypatch):
     asked = []
     monkeypatch.setattr(persons, "edits", lambda p, q: asked.append((p, q)) or 9)
